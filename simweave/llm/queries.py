@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from simweave.llm import queries_graph, queries_near, queries_spans, queries_split, queries_text
+from simweave.llm import queries_graph, queries_near, queries_spans, queries_split, queries_text, queries_tokens
 
-_MODULES = (queries_split, queries_graph, queries_near, queries_spans, queries_text)
+_MODULES = (queries_split, queries_graph, queries_near, queries_spans, queries_text, queries_tokens)
 
 QUERIES = {name: run for module in _MODULES for name, run in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
