@@ -314,53 +314,73 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     return tuple(out)
 
 
-def _close(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, ranks: tuple, sketches: np.ndarray, t: Threshold) -> np.ndarray:
-    """Which of the pairs of records pass the bounds by size, rank and sketch."""
-    small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
-    limit = t.differing(small + large)
-    ok = np.flatnonzero((large <= t.largest(small)) & (np.maximum(*ranks) <= limit) & (np.minimum(*ranks) + np.maximum(*ranks) != -2))
-    left, right, limit = a[ok], b[ok], limit[ok]
-    distance = np.zeros(len(ok), dtype=np.int64)
-    for w in range(sketches.shape[1]):
-        distance += np.bitwise_count(sketches[left, w] ^ sketches[right, w])
-        if w == 2:  # most pairs are beyond their limit after half of the words
-            near = distance <= limit
-            ok, left, right, limit, distance = ok[near], left[near], right[near], limit[near], distance[near]
-    return ok[distance <= limit]
+def _near(left: np.ndarray, right: np.ndarray, limit: np.ndarray, front: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """Which pairs of records have sketches within their limit; most are beyond it after the front words."""
+    bits = np.bitwise_count(front[left] ^ front[right]).view(np.uint32).reshape(-1)
+    distance = (bits * np.uint32(0x01010101) >> np.uint32(24)).astype(np.int32)
+    ok = np.flatnonzero(distance <= limit)
+    bits = np.bitwise_count(back[left[ok]] ^ back[right[ok]]).view(np.uint16).reshape(-1)
+    distance = distance[ok] + (bits & np.uint16(255)) + (bits >> np.uint16(8))
+    return ok[distance <= limit[ok]]
+
+
+def _meetings(run: np.ndarray, record: np.ndarray, rank: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, t: Threshold) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of two entries of one run that pass the bounds by size, rank and sketch.
+
+    Entries are in the order of run and size. An entry of rank p meets no partner with which
+    fewer than p tokens may differ, so its partners in the run are a range of sizes.
+    """
+    size = sizes[record]
+    # the least sum of sizes at which `rank` tokens may differ
+    least = -(-np.maximum(rank, 0) * (t.den + t.num) // (t.den - t.num)) - size
+    key = (run << 32) | size
+    begin = np.maximum(np.arange(len(key)) + 1, np.searchsorted(key, (run << 32) | np.maximum(size, least)))
+    count = np.maximum(np.searchsorted(key, (run << 32) | t.largest(size), "right") - begin, 0)
+    some = np.flatnonzero(count)
+    sums = np.cumsum(count[some])
+    front, back = np.ascontiguousarray(sketches[:, :4]), np.ascontiguousarray(sketches[:, 4:])
+    who, size, least = record.astype(np.int32), size.astype(np.int32), least.astype(np.int32)
+    deleted = rank < 0
+    any_deleted = bool(deleted.any())
+    at = 0
+    while at < len(some):
+        end = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + (1 << 19), "right")))
+        part = some[at:end]
+        n = count[part]
+        one = np.repeat(part, n)
+        other = np.arange(len(one)) + np.repeat(begin[part] - (np.cumsum(n) - n), n)
+        ok = least[other] <= size[one]
+        if any_deleted:
+            ok &= ~(deleted[one] & deleted[other])
+        one, other = one[ok], other[ok]
+        limit = t.differing(size[one] + size[other])
+        near = _near(who[one], who[other], limit, front, back)
+        yield one[near], other[near]
+        at = end
 
 
 def _compare(record: np.ndarray, signature: np.ndarray, rank: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, t: Threshold, list_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of record numbers that meet under a signature and may be similar, and the entries of long lists."""
-    order = np.lexsort((sizes[record], signature))
-    record, signature, rank = record[order], signature[order], rank[order]
-    new = np.ones(len(record), dtype=bool)
-    new[1:] = signature[1:] != signature[:-1]
+    order = np.argsort(signature.astype(np.uint64) << _U64(32) | sizes[record].astype(np.uint64))
+    sorted_ = signature[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = sorted_[1:] != sorted_[:-1]
     heads = np.flatnonzero(new)
-    length = np.diff(np.append(heads, len(record)))
+    length = np.diff(np.append(heads, len(order)))
     run = np.cumsum(new) - 1
-    long = length[run] > list_rows
-    rest = (heads + length)[run] - np.arange(len(record)) - 1
+    kept = (length[run] > 1) & (length[run] <= list_rows)
+    late = order[length[run] > list_rows]
+    order, run = order[kept], run[kept]
+    record, n = record[order], len(sizes)
     found: list[np.ndarray] = []
-    at = np.flatnonzero((rest > 0) & ~long)
-    step = 1
     seen = np.empty(0, dtype=np.int64)
-    n = len(sizes)
-    while len(at):
-        for i in range(0, len(at), 1 << 20):
-            one = at[i : i + (1 << 20)]
-            other = one + step
-            keep = _close(record[one], record[other], sizes, (rank[one], rank[other]), sketches, t)
-            a, b = record[one[keep]], record[other[keep]]
-            found.append(np.minimum(a, b) * n + np.maximum(a, b))
-        if len(found) > 64:
+    for one, other in _meetings(run, record, rank[order], sizes, sketches, t):
+        a, b = record[one], record[other]
+        found.append(np.minimum(a, b) * n + np.maximum(a, b))
+        if len(found) > 200:
             seen = np.unique(np.concatenate([seen, *found]))
             found = []
-        step += 1
-        at = at[rest[at] >= step]
-        # lists are in the order of size: beyond the largest similar size nothing else fits
-        at = at[sizes[record[np.minimum(at + step, len(record) - 1)]] <= t.largest(sizes[record[at]])]
-    seen = np.unique(np.concatenate([seen, *found])) if found else seen
-    return seen, order[long]
+    return np.unique(np.concatenate([seen, *found])), late
 
 
 _CANDIDATES = "a BIGINT, b BIGINT, sig BIGINT, size INT, place INT, sketch BINARY"
@@ -445,19 +465,14 @@ def _long_lists(entries: DataFrame, t: Threshold) -> DataFrame:
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size", kind="stable")
-        ids, sizes = pdf["a"].to_numpy(), pdf["size"].to_numpy().astype(np.int64)
-        ranks, own = pdf["place"].to_numpy(), pdf["own"].to_numpy()
+        ids, own = pdf["a"].to_numpy(), pdf["own"].to_numpy()
         sketches = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint64).reshape(len(pdf), _SKETCH_WORDS)
-        found = []
-        for i in range(len(ids) - 1):
-            end = np.searchsorted(sizes, t.largest(sizes[i]), "right")
-            other = np.arange(i + 1, end)
-            if key[1] != key[2]:
-                other = other[own[other] != own[i]]
-            one = np.full(len(other), i)
-            keep = _close(one, other, sizes, (ranks[one], ranks[other]), sketches, t)
-            found.append(np.stack([np.full(len(keep), ids[i]), ids[other[keep]]], axis=1))
-        both = np.concatenate(found) if found else np.empty((0, 2), dtype=np.int64)
+        everyone, together = np.arange(len(pdf)), np.zeros(len(pdf), dtype=np.int64)
+        found = [np.empty((0, 2), dtype=np.int64)]
+        for one, other in _meetings(together, everyone, pdf["place"].to_numpy(), pdf["size"].to_numpy().astype(np.int64), sketches, t):
+            across = (own[one] != own[other]) | (key[1] == key[2])
+            found.append(np.stack([ids[one[across]], ids[other[across]]], axis=1))
+        both = np.concatenate(found)
         both = np.unique(np.sort(both[both[:, 0] != both[:, 1]], axis=1), axis=0)
         return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
 
