@@ -30,7 +30,8 @@ _PRIVATE = r"\x{e000}-\x{f8ff}\x{f0000}-\x{10ffff}"
 _SENTENCE_END = r"[.!?…]+(?=[\"'”’»)]*(?:\s|$))|[。！？]"
 _LINE_END = r"[.!?…:;,。！？：；，、][\"'”’»)）」』]*\s*$"
 _MARKER = r"^\s*(?:[-*•·▪◦–—]|\(?(?:\d{1,3}|[a-zA-Z]|[一二三四五六七八九十]{1,2})[.)）、]|\d{1,3}(?:\.\d{1,3})+)\s*\S"
-_WRAP = r"(?<=[^\n]{28}[\p{Ll},])\r?\n(?=[\p{Ll}\p{N}(])|(?<=[^\n]{28}[\p{N})])\r?\n(?=\p{Ll})"
+# a hard-wrapped line: 28 characters or more, gone on with in small letters (the line break comes first in the pattern, as it is rare)
+_WRAP = r"\r?\n(?<=[^\n]{28}[\p{Ll},]\r?\n)(?=[\p{Ll}\p{N}(])|\r?\n(?<=[^\n]{28}[\p{N})]\r?\n)(?=\p{Ll})"
 _CELL = r"\t|\||;|\s{2,}"
 _LEADER = r"\.{4,}|…{2,}|(?:\. ?){4,}|_{4,}|·{4,}"
 _MENU = r" [>|»/] |>>|<<"
@@ -92,7 +93,7 @@ def text_statistics(df: DataFrame, row_id: str, text: str, common_words: DataFra
         "id",
         "no",
         *[F.when(F.col("no") == 0, F.col(c)).otherwise(0).alias(c) for c in ("lines", "punctuated", "marked")],
-        F.length(F.regexp_replace(line, r"[\s\p{Z}]+", "")).alias("ink"),
+        (F.length(line) - F.regexp_count(line, F.lit(r"[\s\p{Z}]"))).alias("ink"),
         (F.coalesce(line == F.col("line.before"), F.lit(False)) | F.coalesce(line == F.col("line.after"), F.lit(False))).alias("repeated"),
         tokens.alias("tokens"),
         F.regexp_count(line, F.lit(f"[{_CJK}]")).alias("cjk"),

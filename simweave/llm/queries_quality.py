@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from simweave.llm.quality import FEATURES, clean_labels, learn_rules, rules_sql, text_statistics
 from simweave.sources.tables import table
+from simweave.storage import written
 
 
 def _statistics(spark: SparkSession, directory: str, documents: DataFrame) -> DataFrame:
@@ -16,7 +17,8 @@ def _statistics(spark: SparkSession, directory: str, documents: DataFrame) -> Da
 def judged(spark: SparkSession, directory: str) -> DataFrame:
     """The statistics of every document, and the number of the rule that calls it no prose (0: prose)."""
     documents = table(spark, directory, "documents")
-    labels = clean_labels(table(spark, directory, "doc_labels"), "doc_id", "kind")
+    # written, so that its small size is known to the plan and no document is shuffled to meet its label
+    labels = written(clean_labels(table(spark, directory, "doc_labels"), "doc_id", "kind"), "labels")
     # the labelled documents are measured first; the rules then go into the plan as constants
     rules = learn_rules(_statistics(spark, directory, documents.join(labels.select("doc_id"), "doc_id", "left_semi")), labels, "doc_id")
     return _statistics(spark, directory, documents).withColumn("rule", F.expr(rules_sql(rules)))
