@@ -1 +1 @@
-
+"""Whole analyses, and the queries over the test tables with their SQL."""
