@@ -1 +1 @@
-
+"""Folders that keep growing."""
