@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from simweave.config import AnalysisConfig
 from simweave.functions.text import level
-from simweave.storage import written
+from simweave.storage import drop_written, written
 
 MAX_ROUNDS = 200
 
@@ -27,6 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
         over = spread.select(F.col("file").alias("next"), F.col("next").alias("over"))
         step = spread.join(over, "next").select("file", F.col("root").alias("old"), F.least("next", "over").alias("root"))
         step = written(step, "group-labels")
+        drop_written(labels)
         labels = step.select("file", "root")
         if step.where("old <> root").isEmpty():
             return labels

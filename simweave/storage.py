@@ -6,6 +6,8 @@ all executors share, so a lost executor costs the recomputation of its running t
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,7 +23,9 @@ def shared_root(spark: SparkSession) -> str:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own_roots:
-        _own_roots[app] = "file://" + tempfile.mkdtemp(prefix="simweave-shared-")
+        folder = tempfile.mkdtemp(prefix="simweave-shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own_roots[app] = "file://" + folder
     return _own_roots[app]
 
 
