@@ -236,15 +236,29 @@ def _imaged(select: str) -> str:
 
 _CAND = "cand AS (SELECT lf, rf, max(score) AS score FROM (SELECT * FROM text_cand UNION ALL SELECT * FROM image_cand) GROUP BY ALL)"
 _FULL_TEXT = f"WITH RECURSIVE {_IMAGES}, {_text_stage('evidence+images', _B)}, {_image_stage('(SELECT n FROM total)', _B)}, {_CAND}"
-_SHOWN = f"""CASE WHEN regexp_matches(left_text, '[\\x{{f0000}}-\\x{{fffff}}]') THEN '{UNREADABLE}'
-    WHEN length(left_text) > {K.PREVIEW_CHARS} THEN substring(left_text, 1, {K.PREVIEW_CHARS}) || '...' ELSE left_text END"""
+_GLYPHS = "'[\\x{f0000}-\\x{fffff}]'"
+
+
+def _shown(x: str) -> str:
+    return f"""CASE WHEN regexp_matches({x}, {_GLYPHS}) THEN '{UNREADABLE}'
+        WHEN length({x}) > {K.PREVIEW_CHARS} THEN substring({x}, 1, {K.PREVIEW_CHARS}) || '...' ELSE {x} END"""
+
+
+_EVIDENCE = f"""
+    shown_text AS (SELECT e.lf, e.rf, 0 AS kind, e.left_page AS place, e.left_page, e.right_page, 1.0::DOUBLE AS similarity, c.text AS l, c.text AS r
+                   FROM exact_page e JOIN clean c ON c.file = e.lf AND c.page = e.left_page
+                   UNION ALL SELECT lf, rf, 1, rank, lpage, rpage, least(1.0, greatest(jaccard, ratio)), ltext, rtext FROM matched),
+    listed AS (SELECT *, CAST(row_number() OVER (PARTITION BY lf, rf ORDER BY kind, place) AS INTEGER) AS n FROM shown_text)
+    SELECT pair_id, n, left_page, right_page, round(similarity, 6) AS similarity, NOT (regexp_matches(l, {_GLYPHS}) OR regexp_matches(r, {_GLYPHS})) AS text_readable,
+           {_shown("l")} AS left_text, {_shown("r")} AS right_text
+    FROM listed JOIN pair USING (lf, rf) WHERE n <= {_B.max_matches_per_pair}"""
 
 ORACLE_SQL: dict[str, str] = {
     "q_normalize_lines": _text("SELECT file, page, line_no, line FROM line", "page_texts"),
     "q_line_frequency": _text("SELECT file, line, pages FROM freq", "page_texts"),
     "q_clean_pages": _text("SELECT file, page, text, char_count FROM clean", "page_texts"),
     "q_clean_documents": _text("SELECT file, page, text, char_count FROM clean", "documents"),
-    "q_previews": f"""SELECT match_id, NOT regexp_matches(left_text, '[\\x{{f0000}}-\\x{{fffff}}]') AS readable, {_SHOWN} AS shown, {_normal("left_text")} AS normal
+    "q_previews": f"""SELECT match_id, NOT regexp_matches(left_text, {_GLYPHS}) AS readable, {_shown("left_text")} AS shown, {_normal("left_text")} AS normal
                       FROM (SELECT DISTINCT match_id, left_text FROM matched_texts)""",
     "q_chunks": _text(f'SELECT file, chunk, page, start, "end", text, {_hash60("text")} AS text_hash FROM chunk'),
     "q_shingle_stats": _text("SELECT file, chunk, CAST(count(*) AS INTEGER) AS shingles, min(h) AS least, max(h) AS greatest FROM shingle GROUP BY ALL"),
@@ -267,6 +281,7 @@ ORACLE_SQL: dict[str, str] = {
     "q_coverage": _compared("""SELECT lf, rf, CAST(sum(greatest(0, lend - greatest(lstart, before))) AS BIGINT) AS covered
         FROM (SELECT *, coalesce(max(lend) OVER (PARTITION BY lf, rf, lpage ORDER BY lstart, lend ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM matched) GROUP BY ALL"""),
     "q_pairs_text": _compared(_FLAT),
+    "q_text_evidence": _compared("," + _EVIDENCE),
     "q_image_phash_bits": f"""WITH {_IMAGES} SELECT file, image, lower(lpad(hex(phash), 16, '0')) AS phash, sha256, width, height FROM image""",
     "q_image_common": _imaged("SELECT sha256 FROM common"),
     "q_image_exact_candidates": _imaged("SELECT lf, rf, score FROM exact_image"),
