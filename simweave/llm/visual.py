@@ -138,7 +138,7 @@ def visual_forms(df: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
                 continue
             part = pa.table([batch.column(t) for t in texts], names=aliases)
             con.register("part", part)
-            done = con.execute(sql).to_arrow_table()
+            done = con.sql(sql).to_arrow_table()
             con.unregister("part")
             arrays = [batch.column(k) for k in keys] + [done.column(a).combine_chunks().cast(pa.string()) for a in aliases]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keys, *texts])
