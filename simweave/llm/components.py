@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simweave.storage import written
+from simweave.storage import drop_written, written
 
 #: Hops a level; also the greatest head start.
 ROUNDS = 8
@@ -71,10 +71,11 @@ def connected_components(edges: DataFrame, left: str, right: str, rounds: int =
         levels.append(clusters)
         left_side = clusters.select(F.col("v").alias("src"), F.col("center").alias("new_src"))
         right_side = clusters.select(F.col("v").alias("dst"), F.col("center").alias("new_dst"))
-        links = written(
+        before, links = links, written(
             links.join(left_side, "src").join(right_side, "dst").where("new_src <> new_dst").select(F.col("new_src").alias("src"), F.col("new_dst").alias("dst")).distinct(),
             "cc-edges",
         )
+        drop_written(before)
     if not levels:
         return pairs.select(F.col("a").alias("vertex"), F.col("a").alias("component")).limit(0)
     top = levels[-1].select("v", F.col("center").alias("root"))
