@@ -46,6 +46,8 @@ CHUNK = 1_500_000
 FIRST_BAND = 64
 #: Segments for each token of the largest set in a band.
 SEGMENTS = 0.7
+#: Index entries of a bucket, which is one task's; the number of buckets follows from it and is at least this.
+BUCKET_ENTRIES, LEAST_BUCKETS = 4_000_000, 12
 #: Entries of one index list that a task compares; longer lists are compared in blocks by many tasks.
 LIST_ROWS = 20_000
 _BLOCKS = 16
@@ -230,8 +232,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, lis
         yield np.array(ids, dtype=np.int64), texts
 
 
-def _count_table(rows: DataFrame, gram: int, t: Threshold) -> tuple[np.ndarray, set[int]]:
-    """The cost of a content by its slot, 8 steps to a factor of two, and the bands with too few segments."""
+def _count_table(rows: DataFrame, gram: int, t: Threshold) -> tuple[np.ndarray, set[int], int]:
+    """The cost of a content by its slot, 8 steps to a factor of two, the bands with too few segments, and the number of contents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << COUNT_BITS, dtype=np.uint32)
@@ -258,17 +260,18 @@ def _count_table(rows: DataFrame, gram: int, t: Threshold) -> tuple[np.ndarray,
                 sums[name] = sums[name] + part if name in sums else part
         for name, part in sums.items():
             steps = np.minimum(255, np.round(8 * np.log2(1 + part))).astype(np.uint8)
-            yield pd.DataFrame({"slice": [name], "steps": [steps.tobytes()]})
+            yield pd.DataFrame({"slice": [name], "steps": [steps.tobytes()], "n": [int(part.sum())]})
 
-    counted = rows.mapInArrow(count, "slice INT, counts BINARY").repartition("slice").mapInPandas(total, "slice INT, steps BINARY")
-    cost, lacking = np.zeros(1 << COUNT_BITS, dtype=np.uint8), set()
+    counted = rows.mapInArrow(count, "slice INT, counts BINARY").repartition("slice").mapInPandas(total, "slice INT, steps BINARY, n BIGINT")
+    cost, lacking, contents = np.zeros(1 << COUNT_BITS, dtype=np.uint8), set(), 0
     width = (1 << COUNT_BITS) // _SLICES
     for row in counted.collect():  # 64 slices of 64 KB and one row a band, at every size
         if row["slice"] < 0:
             lacking.add(-1 - row["slice"])
         else:
             cost[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["steps"], dtype=np.uint8)
-    return cost, lacking
+            contents += row["n"]
+    return cost, lacking, contents
 
 
 def _pack(ids: np.ndarray, sets: TokenSets, sketches: np.ndarray, entries: Entries, buckets: int) -> Iterator[tuple[int, bytes]]:
@@ -386,8 +389,9 @@ def _compare(record: np.ndarray, signature: np.ndarray, rank: np.ndarray, sizes:
 _CANDIDATES = "a BIGINT, b BIGINT, sig BIGINT, size INT, place INT, sketch BINARY"
 
 
-def _candidates(rows: DataFrame, gram: int, t: Threshold, buckets: int, list_rows: int) -> DataFrame:
-    cost, lacking = _count_table(rows, gram, t)
+def _candidates(rows: DataFrame, gram: int, t: Threshold, buckets: int | None, list_rows: int) -> DataFrame:
+    cost, lacking, contents = _count_table(rows, gram, t)
+    buckets = buckets or max(LEAST_BUCKETS, -(-contents // BUCKET_ENTRIES))
     shared = rows.sparkSession.sparkContext.broadcast((cost, lacking))  # 4 MB
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -503,7 +507,6 @@ def near_duplicates(
     other = (rows["id"] == others["id"]) & (F.md5(rows["text"]) == others["d"]) & (F.xxhash64(rows["text"]) == others["h"])
     texts = rows.join(others, other, "left_anti")
     copies = others.select("id", "first")
-    buckets = buckets or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     met = written(_candidates(texts, gram, t, buckets, list_rows), "near-pairs")
     wanted = written(met.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
     few = rows.join(wanted, "id").distinct()
