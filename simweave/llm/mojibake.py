@@ -3,7 +3,8 @@
 A smoothed character trigram model is trained on all clean records. Every run of non-ASCII
 characters is then held against what each encode-decode chain would make of it: the chain that
 gives the likeliest text wins, if it beats the text as it stands by more than the margin. The
-margin is validated on the clean records themselves, of which hardly any may be changed.
+margin is validated on all clean records themselves, of which hardly any may be changed: every
+record is tried at the least margin, and what was found is cut to the validated one.
 
 The counts are kept in tables of fixed size by hash, so model and broadcast are bounded however
 large the collection, while every record is counted. Characters that were lost on the way stand
@@ -15,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache, lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simweave.llm.spans import codes_of
+from simweave.storage import drop_written, written
 
 _U64 = np.uint64
 #: Slots of the tables of trigrams, bigrams and characters.
@@ -308,9 +311,22 @@ def _oddness(texts: list[str], model: Model) -> Iterator[tuple[np.ndarray, np.nd
         at += len(t) + 2
 
 
+#: What a round gave: the margin below which it is reached, the text, its chains, the gain in nats so far.
+Round = tuple[float, str, str, float]
+
+
 def restore_batch(texts: list[str | None], model: Model, margin: float = MARGIN) -> list[tuple[str, str, float] | None]:
     """``(restored text, chains, gain in nats)`` of each garbled text, None for the others."""
-    out: list[tuple[str, str, float] | None] = [None] * len(texts)
+    return [rounds[-1][1:] if rounds else None for rounds in restore_rounds(texts, model, margin)]
+
+
+def restore_rounds(texts: list[str | None], model: Model, margin: float = MARGIN) -> list[list[Round]]:
+    """The rounds of each garbled text, an empty list for the others.
+
+    The best option of a round does not depend on the margin, so at a greater one a text goes
+    through the first of these rounds, as long as the margin is below what they need.
+    """
+    out: list[list[Round]] = [[] for _ in texts]
     current = {i: t for i, t in enumerate(texts) if t and not t.isascii()}
     gains: dict[int, float] = {}
     names: dict[int, list[str]] = {}
@@ -344,14 +360,16 @@ def restore_batch(texts: list[str | None], model: Model, margin: float = MARGIN)
                 options.append((sum(z[0] for z in kept), chain, kept))
             gain, chain, kept = max(options, key=lambda o: round(o[0], 6))  # of equal ones the first in CHAINS
             # a text that this chain is known to have garbled needs little evidence for its other zones
-            if gain <= (2.0 if names.get(i, [""])[-1] == chain else margin):
+            known = names.get(i, [""])[-1] == chain
+            if gain <= (2.0 if known else margin):
                 continue
             text = current[i]
             for _, s, e, restored in sorted(kept, key=lambda z: -z[1]):
                 text = text[:s] + restored + text[e:]
             gains[i] = gains.get(i, 0.0) + gain
             names.setdefault(i, []).append(chain)
-            out[i] = (text, ", then ".join(names[i]), gains[i])
+            reach = min([r[0] for r in out[i]] + ([] if known else [gain]))
+            out[i].append((reach, text, ", then ".join(names[i]), gains[i]))
             following[i] = text
         current = following
     return out
@@ -370,13 +388,6 @@ def garble(text: str, wrong: str, right: str) -> str | None:
     return "".join(chr(b) if b < 128 else shown.get(b, _LOST) for b in data)
 
 
-def validated_margin(clean: list[str], model: Model, most_wrong: float = 0.0005) -> float:
-    """The least margin, from ``MARGIN`` up, beyond which hardly any of the clean records would be changed."""
-    gains = sorted(r[2] for r in restore_batch(clean, model, MARGIN) if r)
-    allowed = int(most_wrong * len(clean))
-    return MARGIN if len(gains) <= allowed else min(gains[len(gains) - allowed - 1], 3 * MARGIN)
-
-
 def _train(rows: DataFrame, text: str) -> Model:
     """A model of all clean rows."""
 
@@ -407,11 +418,72 @@ def _train(rows: DataFrame, text: str) -> Model:
     return Model(*(np.concatenate(parts[k * _SLICES : (k + 1) * _SLICES]) for k in range(len(SLOTS))))
 
 
-def train(rows: DataFrame, text: str, sample: int = 2_000) -> tuple[Model, float]:
-    """``(model, margin)``: all clean rows are counted; the margin is validated on ``sample`` of them, those of least hash."""
+#: Bins to a nat of the histogram of gains that the margin is taken from.
+_BINS = 1_000
+_ROUND = "STRUCT<reach: DOUBLE, restored: STRING, chain: STRING, gain: DOUBLE>"
+
+
+def _tried(rows: DataFrame, model: Model) -> DataFrame:
+    """``id, clean, rounds`` of every row of ``id, text`` that is clean or garbled, at the least margin.
+
+    ``clean`` is a digest of a clean text, else null; ``rounds`` is null for a text that is no case.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    kind = rows.schema["id"].dataType.simpleString()
+    rounds_type = pa.list_(pa.struct([("reach", pa.float64()), ("restored", pa.string()), ("chain", pa.string()), ("gain", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            # everything in the pattern is beyond ASCII
+            clean = [blake2b(t.encode(), digest_size=16).digest() if t and (t.isascii() or not _UNCLEAN.search(t)) else None for t in texts]
+            found = [[dict(zip(("reach", "restored", "chain", "gain"), r, strict=True)) for r in rounds] or None for rounds in restore_rounds(texts, shared.value)]
+            kept = pa.array([i for i, (c, r) in enumerate(zip(clean, found, strict=True)) if c or r], pa.int32())
+            yield pa.RecordBatch.from_arrays([c.take(kept) for c in (batch.column("id"), pa.array(clean, pa.binary()), pa.array(found, rounds_type))], names=["id", "clean", "rounds"])
+
+    return written(rows.mapInArrow(run, f"id {kind}, clean BINARY, rounds ARRAY<{_ROUND}>"), "tried")
+
+
+def validated_margin(tried: DataFrame, most_wrong: float = 0.0005) -> float:
+    """The least margin, from ``MARGIN`` up, beyond which hardly any of the clean records would be changed.
+
+    All different clean texts count; their gains come to the driver as a histogram of fixed size.
+    """
+    gains = tried.where("clean IS NOT NULL").groupBy("clean").agg(F.max(F.element_at("rounds", -1)["gain"]).alias("gain"))
+    bin_ = F.when(F.col("gain").isNotNull(), F.floor(F.least("gain", F.lit(3 * MARGIN)) * _BINS))
+    bins = gains.groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.max("gain").alias("most"))
+    rows = bins.collect()  # one row for the texts without a gain, and 20,001 at most
+    left = int(most_wrong * sum(r["n"] for r in rows))
+    for r in sorted((r for r in rows if r["bin"] is not None), key=lambda r: -r["bin"]):
+        left -= r["n"]
+        if left < 0:
+            return min(r["most"], 3 * MARGIN)
+    return MARGIN
+
+
+def _cut(tried: DataFrame, margin: float) -> DataFrame:
+    """``id, restored, chain, gain`` of the garbled rows at ``margin``."""
+    reached = F.filter("rounds", lambda r: r["reach"] > margin)
+    return tried.where(F.element_at("rounds", 1)["reach"] > margin).select("id", F.element_at(reached, -1).alias("r")).select("id", "r.restored", "r.chain", "r.gain")
+
+
+def _rows(df: DataFrame, row_id: str, text: str) -> DataFrame:
+    return df.select(F.col(row_id).alias("id"), F.col(text).cast("string").alias("text"))
+
+
+def train(rows: DataFrame, text: str) -> tuple[Model, float]:
+    """``(model, margin)``: all clean rows are counted, and the margin is validated on all of them."""
     model = _train(rows, text)
-    drawn = rows.where(F.length(text) > 0).select(text).orderBy(F.xxhash64(text), text).limit(sample)
-    return model, validated_margin(sorted({r[0] for r in drawn.collect() if not _UNCLEAN.search(r[0])}), model)
+    tried = _tried(rows.select(F.lit(0).alias("id"), F.col(text).cast("string").alias("text")), model)
+    margin = validated_margin(tried)
+    drop_written(tried)
+    return model, margin
+
+
+def restore_own_encoding(df: DataFrame, row_id: str, text: str) -> DataFrame:
+    """:func:`restore_encoding` with what :func:`train` makes of the same rows; each is tried only once."""
+    tried = _tried(_rows(df, row_id, text), _train(df, text))
+    return _cut(tried, validated_margin(tried)).withColumnRenamed("id", row_id)
 
 
 def restore_encoding(df: DataFrame, row_id: str, text: str, model: Model, margin: float) -> DataFrame:
@@ -421,7 +493,7 @@ def restore_encoding(df: DataFrame, row_id: str, text: str, model: Model, margin
     and ASCII texts are no case. Repeated rows come out as often as they occur; other columns are
     not read. Narrow: the model, 13 MB at every size, is broadcast.
     """
-    rows = df.select(F.col(row_id).alias("id"), F.col(text).cast("string").alias("text"))
+    rows = _rows(df, row_id, text)
     shared = df.sparkSession.sparkContext.broadcast((model, margin))
     kind = rows.schema["id"].dataType.simpleString()
 

@@ -93,6 +93,35 @@ def test_restoring_edges(spark, model):
     assert mojibake.restore_batch([None, "", "abc"], empty, margin) == [None, None, None]
 
 
+def test_margin_is_validated_on_all_clean_rows(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/matched_texts.parquet").select("left_text")
+    # texts that no pattern keeps from the clean ones, though they gain by being restored
+    plain = "L'atelier de métrologie déplace {} chemins de câbles galvanisés de type FDB/97737 à Hélocourt dès le dépôt."
+    odd = spark.createDataFrame([(w, mojibake.garble(plain.format(i), w, "cp1252")) for w in ("cp437", "cp850", "cp1251", "koi8-r") for i in range(300)], "chain string, left_text string")
+    by_hash = [tuple(r) for r in odd.orderBy(F.xxhash64("left_text")).collect()]
+    last = list(dict(by_hash).values())  # of each chain the one of greatest hash
+    for planted, raised in (([by_hash[0][1]], False), (last, True)):
+        both = rows.union(spark.createDataFrame([(t,) for t in planted], "left_text string"))
+        model, margin = train(both, "left_text")
+        clean = sorted({r[0] for r in both.where("left_text <> ''").collect() if not mojibake._UNCLEAN.search(r[0])})
+        gains = sorted(r[2] for r in mojibake.restore_batch(clean, model) if r)
+        allowed = int(0.0005 * len(clean))
+        assert len(clean) > 2_200 and len(gains) == len(planted) and (len(gains) > allowed) == raised
+        assert margin == pytest.approx(min(gains[-allowed - 1], 3 * mojibake.MARGIN) if raised else mojibake.MARGIN, abs=0.001)
+
+
+def test_rounds_are_cut_as_a_greater_margin_would(spark, model):
+    fine = _clean(spark, 150)
+    texts = [g for t in fine for w, r in (("cp1252", "utf-8"), ("mac-roman", "cp1252")) if (g := mojibake.garble(t, w, r))]
+    texts += [g for t in fine[:40] if (g := mojibake.garble(mojibake.garble(t, "cp1252", "utf-8"), "mac-roman", "cp1252"))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id bigint, text string")
+    tried = mojibake._tried(df, model[0])
+    for margin in (10.0, 14.0, 30.0):
+        want = {i: r for i, r in enumerate(mojibake.restore_batch(texts, model[0], margin)) if r}
+        got = {r.id: (r.restored, r.chain) for r in mojibake._cut(tried, margin).collect()}
+        assert got == {i: r[:2] for i, r in want.items()} and got
+
+
 # tokens
 
 
