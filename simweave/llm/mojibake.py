@@ -276,18 +276,28 @@ def _east_asian_zones(odd: np.ndarray, text: str) -> Iterator[tuple[int, int]]:
             yield from (m.span() for m in _EAST_ASIAN_RUN.finditer(text, s, e))
 
 
-def _trials(text: str, odd: np.ndarray, strange: np.ndarray) -> Iterator[tuple[int, int, str, str]]:
-    """``(start, end, chain, restored)`` of everything a chain could undo in a text with odd characters."""
+def _trials(text: str, odd: np.ndarray, strange: np.ndarray, known: str = "") -> Iterator[tuple[int, int, str, str]]:
+    """``(start, end, chain, restored)`` of everything a chain could undo in a text with odd characters.
+
+    The gain of a chain is that of all its zones together, and at most their oddness and the
+    evidence for UTF-8; where that is below ``MARGIN``, the chains of a repertoire are not tried.
+    Of the repertoire of a chain that is ``known`` to have garbled the text every zone is tried.
+    """
     before = np.concatenate([[0], np.cumsum(strange)])
     sums = np.concatenate([[0], np.cumsum(odd)])
     odd_ones = {text[i] for i in np.flatnonzero(strange)}
     for shown, pattern, chains in _repertoires():
-        if shown.isdisjoint(odd_ones):
+        at_hand = known.endswith(f" read as {chains[0][0]}")
+        if not at_hand and shown.isdisjoint(odd_ones):
             continue
-        for m in pattern.finditer(text):
-            s, e = m.span()
-            if before[e] == before[s] or sums[min(e + 2, len(text))] - sums[s] < MARGIN:
+        zones = [m.span() for m in pattern.finditer(text)]
+        if not at_hand:
+            zones = [(s, e) for s, e in zones if before[e] > before[s]]
+            # a character beyond ASCII comes out of two bytes or more, around lost ones out of each
+            most = sum((e - s) // (1 if _LOST in text[s:e] else 2) for s, e in zones)
+            if sum(sums[min(e + 2, len(text))] - sums[s] for s, e in zones) + UTF8_EVIDENCE * most < MARGIN:
                 continue
+        for s, e in zones:
             for chain, restored in _undone(text[s:e], chains):
                 yield s, e, chain, restored
     if not _EAST_ASIAN.search(text):
@@ -336,8 +346,9 @@ def restore_rounds(texts: list[str | None], model: Model, margin: float = MARGIN
         order = list(current)
         trials: list[tuple[int, int, int, str, str]] = []
         for i, (odd, strange) in zip(order, _oddness([current[i] for i in order], model), strict=True):
-            if strange.any():
-                trials += [(i, *t) for t in _trials(current[i], odd, strange)]
+            known = names.get(i, [""])[-1].split(",")[0]
+            if known or strange.any():
+                trials += [(i, *t) for t in _trials(current[i], odd, strange, known)]
         context = [(("\x02\x02" + current[i])[s : s + 2], current[i][e : e + 2]) for i, s, e, _, _ in trials]
         now = model.scores([a + current[i][s:e] + b for (i, s, e, _, _), (a, b) in zip(trials, context, strict=True)])
         after = model.scores([a + t[4] + b for t, (a, b) in zip(trials, context, strict=True)])

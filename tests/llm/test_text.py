@@ -122,6 +122,17 @@ def test_rounds_are_cut_as_a_greater_margin_would(spark, model):
         assert got == {i: r[:2] for i, r in want.items()} and got
 
 
+@pytest.mark.parametrize(("wrong", "right", "seen", "last"), [("cp1252", "mac-roman", 1, "der"), ("cp1251", "cp1252", 2, "der"), ("cp1252", "utf-8", 1, "der"), ("cp1252", "utf-8", 5, "über die")])
+def test_weak_zones_count_together(wrong, right, seen, last):
+    plain = ["Die Tür für die Prüfung der Räume steht über der Höhe", "für die Türen", "die Prüfer prüfen die Tür für uns"]
+    # garbled signs that the model has seen a few times are only a little odd, each for itself
+    model = mojibake.Model.of(mojibake.count_grams(plain * 400 + [mojibake.garble(t, wrong, right) for t in plain] * seen))
+    text = f"Eine Tür für uns und eine Prüfung {last} Höhe"
+    restored, chain, gain = mojibake.restore_batch([mojibake.garble(text, wrong, right)], model)[0]
+    assert restored == text and chain.startswith(f"{right} read as {wrong}") and gain > mojibake.MARGIN
+    assert mojibake.restore_batch([text], model) == [None]
+
+
 # tokens
 
 
