@@ -164,8 +164,10 @@ def _differing_in_band(sizes: np.ndarray, band: int, t: Threshold) -> np.ndarray
 
 
 def _bands(sets: TokenSets, t: Threshold) -> list[int]:
-    present = np.unique(band_of(sets.sizes[sets.sizes > 0]))
-    return sorted({int(b) for b in present} | {int(b) - 1 for b in present if b > 0})
+    """The bands that have members: those from a record's smallest possible partner up to its own."""
+    sizes = np.unique(sets.sizes[sets.sizes > 0])
+    lowest = band_of(-(-sizes * t.num // t.den))
+    return sorted({b for low, own in set(zip(lowest.tolist(), band_of(sizes).tolist(), strict=True)) for b in range(low, own + 1)})
 
 
 def exact_signatures(sets: TokenSets, band: int, t: Threshold) -> tuple[Entries, np.ndarray]:

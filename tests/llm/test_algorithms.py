@@ -161,6 +161,17 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, threshold, segm
     assert {(r.a, r.b) for r in found.collect()} == _brute(rows, threshold)
 
 
+@pytest.mark.parametrize(("threshold", "sizes"), [(0.4, (126, 300)), (0.2, (60, 290)), (0.72, (47, 65, 90))])
+def test_near_duplicates_far_apart_in_size(spark, threshold, sizes):
+    random.seed(6)
+    whole = "".join(random.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400))
+    rows = [(i, whole[: n + 4], "") for i, n in enumerate(sizes)]
+    # each in a task of its own, so that none is indexed where only the other belongs
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "id bigint, text string, a string")
+    wanted = _brute(rows, threshold)
+    assert wanted and {(r.a, r.b) for r in all_pairs(*near_duplicates(df, "id", "text", threshold)).collect()} == wanted
+
+
 def test_near_duplicates_of_nothing(spark):
     pairs, copies = near_duplicates(spark.createDataFrame([], "id bigint, text string"), "id", "text", 0.72)
     assert pairs.count() == 0 and copies.count() == 0
