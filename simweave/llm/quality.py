@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 
 #: Labelled documents that the rules are learned from; beyond it those of least hash are taken.
 MAX_LABELS = 20_000
-#: Common words that are matched; beyond it those of best rank are taken.
-MAX_WORDS = 5_000
 
 _CJK = r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}"
 _PRIVATE = r"\x{e000}-\x{f8ff}\x{f0000}-\x{10ffff}"
@@ -62,16 +60,15 @@ FEATURES = (
 def text_statistics(df: DataFrame, row_id: str, text: str, common_words: DataFrame) -> DataFrame:
     """``row_id, chars, words, lines`` and the ``FEATURES``, one row for each id.
 
-    ``common_words`` has a column ``word``; words of one CJK character are matched as characters.
+    ``common_words`` has a column ``word``, all of which count; words of one CJK character are matched as characters.
     Words are runs of letters, and single CJK characters; ratios are of non-space characters,
     shares of lines are of lines that are not blank. A null, empty or blank text has counts of 0
     and ratios of null. An id with several rows is measured over all of them, repeated rows
     count once in effect (all figures but the counts are ratios, and counts are per row). Rows
     with a null id are one document. Other columns are not read.
     """
-    listed = common_words.where("word IS NOT NULL").select(F.lower(F.trim("word")).alias("word"), "word_rank")
-    ranked = listed.groupBy("word").agg(F.min("word_rank").alias("r")).orderBy("r", "word").limit(MAX_WORDS)
-    words = [r["word"] for r in ranked.collect()]
+    listed = common_words.where("word IS NOT NULL").select(F.lower(F.trim("word")).alias("word")).distinct()
+    words = [r["word"] for r in listed.collect()]  # the whole list, a set in the plan: it does not grow with the documents
     single = "".join(sorted(w for w in words if len(w) == 1 and "㐀" <= w <= "鿿"))
     # single Latin letters are left out: they occur in any noise
     spelled = sorted(w for w in words if w not in single and (len(w) > 1 or "Ѐ" <= w <= "ӿ"))

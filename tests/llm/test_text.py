@@ -238,6 +238,15 @@ def test_statistics(spark):
     assert text_statistics(df, "doc_id", "text", words.limit(0)).count() == 6
 
 
+def test_long_lists_of_common_words_count_whole(spark):
+    def name(i):
+        return "w" + "".join("abcdefghij"[int(c)] for c in f"{i:04}")
+
+    words = spark.createDataFrame([("en", name(i), i) for i in range(6_000)], "lang string, word string, word_rank int")
+    df = spark.createDataFrame([(1, f"{name(0)} {name(5_500)} {name(5_999)} {name(6_000)}")], "doc_id bigint, text string")
+    assert text_statistics(df, "doc_id", "text", words).first().common_share == pytest.approx(3 / 4)
+
+
 def test_rules_find_a_planted_list():
     random.seed(2)
     x = pd.DataFrame({f: [random.random() for _ in range(900)] for f in quality.FEATURES})
