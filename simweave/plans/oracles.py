@@ -304,3 +304,14 @@ ORACLE_SQL: dict[str, str] = {
     "q_files_summary": _text("""SELECT f.file, coalesce(p.n, 0) AS page_count, CAST(coalesce(p.chars, 0) AS BIGINT) AS total_text_chars, coalesce(c.chunk_count, 0) AS chunk_count
         FROM files_in f LEFT JOIN (SELECT file, count(*) AS n, sum(char_count) AS chars FROM clean GROUP BY file) p USING (file) LEFT JOIN chunk_n c USING (file)"""),
 }
+
+#: Stage queries that run on the documents too.
+DOCUMENT_STAGES = {
+    "q_document_chunks": "q_chunks",
+    "q_document_sketch": "q_sketch",
+    "q_document_posting_filter": "q_posting_filter",
+    "q_document_chunk_pairs": "q_chunk_pairs",
+    "q_document_verify": "q_jaccard_verify",
+    "q_document_groups": "q_groups",
+}
+ORACLE_SQL |= {name: ORACLE_SQL[stage].replace(_PAGES["evidence"], _PAGES["documents"]) for name, stage in DOCUMENT_STAGES.items()}

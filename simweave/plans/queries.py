@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,8 +62,8 @@ def previews(spark, d):
     return rows.select("match_id", is_readable(text).alias("readable"), preview(text).alias("shown"), normalize_text(text).alias("normal"))
 
 
-def chunks(spark, d):
-    return C.chunk_pages(analysis(spark, d).clean, PRESETS["balanced"])
+def chunks(spark, d, corpus=analysis):
+    return C.chunk_pages(corpus(spark, d).clean, PRESETS["balanced"])
 
 
 def shingle_stats(spark, d):
@@ -69,16 +71,16 @@ def shingle_stats(spark, d):
     return analysis(spark, d).chunks.select("file", "chunk", F.size("shingles").alias("shingles"), first.alias("least"), F.element_at("shingles", -1).alias("greatest"))
 
 
-def sketch(spark, d):
-    return analysis(spark, d).sketch
+def sketch(spark, d, corpus=analysis):
+    return corpus(spark, d).sketch
 
 
-def posting_filter(spark, d):
-    return analysis(spark, d).features
+def posting_filter(spark, d, corpus=analysis):
+    return corpus(spark, d).features
 
 
-def chunk_pairs(spark, d):
-    return _rounded(analysis(spark, d).chunk_pairs)
+def chunk_pairs(spark, d, corpus=analysis):
+    return _rounded(corpus(spark, d).chunk_pairs)
 
 
 def candidate_evidence(spark, d):
@@ -111,8 +113,8 @@ def simhash(spark, d):
     return C.simhashes(analysis(spark, d).chunks)
 
 
-def jaccard_verify(spark, d):
-    return _rounded(analysis(spark, d).verified.select("lf", "lc", "rf", "rc", "shared", "same", "jaccard", "distance", "ratio"))
+def jaccard_verify(spark, d, corpus=analysis):
+    return _rounded(corpus(spark, d).verified.select("lf", "lc", "rf", "rc", "shared", "same", "jaccard", "distance", "ratio"))
 
 
 def exact_pages(spark, d):
@@ -184,8 +186,8 @@ def components(spark, d):
     return G.components(G.strong_pairs(a.pairs, a.config))
 
 
-def groups(spark, d):
-    found = analysis(spark, d).groups
+def groups(spark, d, corpus=analysis):
+    found = corpus(spark, d).groups
     return _rounded(found.select("group_id", "files", "edges", "graph_density", "group_score", "level", "evidence_type", F.array_join("file_ids", ",").alias("file_ids"), F.array_join("quality_flags", ",").alias("flags")))
 
 
@@ -222,6 +224,11 @@ def files_summary(spark, d):
     return analysis(spark, d).summaries
 
 
+def of_documents(query):
+    """A query of a stage, on the documents in place of the matched texts."""
+    return partial(query, corpus=document_analysis)
+
+
 QUERIES = {
     "q_normalize_lines": normalize_lines,
     "q_line_frequency": line_frequency,
@@ -240,6 +247,12 @@ QUERIES = {
     "q_text_candidates_exhaustive": text_candidates("exhaustive"),
     "q_document_candidates": document_candidates,
     "q_document_pairs": document_pairs,
+    "q_document_chunks": of_documents(chunks),
+    "q_document_sketch": of_documents(sketch),
+    "q_document_posting_filter": of_documents(posting_filter),
+    "q_document_chunk_pairs": of_documents(chunk_pairs),
+    "q_document_verify": of_documents(jaccard_verify),
+    "q_document_groups": of_documents(groups),
     "q_topk_per_file": topk_per_file,
     "q_simhash": simhash,
     "q_jaccard_verify": jaccard_verify,

@@ -1,5 +1,6 @@
 import pytest
 
+from conftest import SMALL
 from simweave.plans.queries import ORACLE_SQL, QUERIES
 
 #: One query of each stage; the driver's check runs all of them.
@@ -14,6 +15,18 @@ def test_query_equals_sql(name, same_as_sql):
     same_as_sql(QUERIES[name], ORACLE_SQL[name])
 
 
+@pytest.mark.parametrize("name", ["q_document_chunks", "q_document_sketch", "q_document_posting_filter", "q_document_chunk_pairs", "q_document_verify", "q_document_groups"])
+def test_stage_on_documents_equals_sql(name, spark, same_as_sql):
+    assert "FROM documents" in ORACLE_SQL[name] and "matched_texts" not in ORACLE_SQL[name]
+    same_as_sql(QUERIES[name], ORACLE_SQL[name])
+
+
+def test_windows_of_long_documents(spark):
+    # most files of the matched texts have one chunk a page
+    pieces = QUERIES["q_document_chunks"](spark, SMALL)
+    assert pieces.where("start > 0").count() > 20
+
+
 def test_entry_points():
     import __spark_entry__ as entry
 
