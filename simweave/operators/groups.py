@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from simweave.config import AnalysisConfig
 from simweave.functions.text import level
+from simweave.operators.skew import Pieces, split_join
 from simweave.storage import drop_written, written
 
 MAX_ROUNDS = 200
@@ -16,21 +17,24 @@ def components(edges: DataFrame) -> DataFrame:
     """``file, root``: each file with an edge, and the smallest file that it is connected to.
 
     Labels spread along edges and then jump to their label's label, so long chains take a
-    logarithmic number of rounds; each round is written to the shared folder.
+    logarithmic number of rounds; each round is written to the shared folder. Files with very
+    many edges and labels that very many files have are cut into pieces for the joins.
     """
-    both = edges.select(F.explode(F.array(F.struct(F.col("lf").alias("a"), F.col("rf").alias("b")), F.struct(F.col("rf").alias("a"), F.col("lf").alias("b")))).alias("e"))
-    links = written(both.select("e.a", "e.b").distinct(), "group-links")
-    labels = written(links.groupBy(F.col("a").alias("file")).agg(F.least(F.min("b"), F.col("file")).alias("root")), "group-labels")
+    both = edges.select(F.explode(F.array(F.struct(F.col("lf").alias("a"), F.col("rf").alias("file")), F.struct(F.col("rf").alias("a"), F.col("lf").alias("file")))).alias("e"))
+    links = written(both.select("e.a", "e.file").distinct(), "group-links")
+    hubs = Pieces.of(links.groupBy("file").agg(F.count(F.lit(1)).alias("n")))
+    labels = written(links.groupBy(F.col("a").alias("file")).agg(F.least(F.min("file"), F.col("a")).alias("root")), "group-labels")
     for _ in range(MAX_ROUNDS):
-        near = links.join(labels, links["b"] == labels["file"]).groupBy(F.col("a").alias("file")).agg(F.min("root").alias("near"))
-        spread = labels.join(near, "file").select("file", "root", F.least("root", "near").alias("next"))
+        near = hubs.join(links, labels, ["file"]).groupBy(F.col("a").alias("file")).agg(F.min("root").alias("near"))
+        spread = written(labels.join(near, "file").select("file", "root", F.least("root", "near").alias("next")), "group-spread")
         over = spread.select(F.col("file").alias("next"), F.col("next").alias("over"))
-        step = spread.join(over, "next").select("file", F.col("root").alias("old"), F.least("next", "over").alias("root"))
+        step = split_join(spread, over, ["next"]).select("file", F.col("root").alias("old"), F.least("next", "over").alias("root"))
         step = written(step, "group-labels")
-        drop_written(labels)
-        labels = step.select("file", "root")
+        drop_written(labels, spread)
+        labels = step
         if step.where("old <> root").isEmpty():
-            return labels
+            drop_written(links)
+            return step.select("file", "root")
     raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")
 
 

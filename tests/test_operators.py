@@ -1,5 +1,8 @@
+import os
+
 from pyspark.sql import functions as F
 
+from simweave import storage
 from simweave.config import PRESETS, AnalysisConfig, feature_file_cap
 from simweave.functions.text import is_readable, jaccard, level, normalize_text, preview
 from simweave.operators import chunks as C
@@ -7,6 +10,7 @@ from simweave.operators import compare as X
 from simweave.operators import groups as G
 from simweave.operators import images as I
 from simweave.operators import recall as R
+from simweave.operators import skew
 from simweave.plans.pipeline import Analysis
 
 import pytest
@@ -144,3 +148,31 @@ def test_empty_corpus(spark):
     assert analysis.pairs.count() == 0
     assert analysis.run_totals().first().candidate_pairs == 0
     assert [r.chunk_count for r in analysis.summaries.collect()] == [0, 0]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_split_join_equals_join(spark, monkeypatch, how):
+    monkeypatch.setattr(skew, "LEAST_ROWS", 5)
+    many = spark.createDataFrame([("hot", i) for i in range(60)] + [("a", 1), ("a", 1), ("b", 2), (None, 3)], "k string, x int")
+    one = spark.createDataFrame([("hot", "p"), ("hot", "q"), ("a", "r"), ("c", "s"), (None, "t")], "k string, y string")
+    got, wanted = skew.split_join(many, one, ["k"], how), many.join(one, ["k"], how)
+    assert got.columns == wanted.columns and sorted(map(repr, got.collect())) == sorted(map(repr, wanted.collect()))
+    hot = skew.Pieces.of(many.groupBy("k").count(), "count")
+    assert [(r.k, r._pieces) for r in hot.heavy.collect()] == [("hot", 12)]
+    assert hot.scatter(many, ("k",)).where("k = 'hot'").select("_piece").distinct().count() > 6
+
+
+def test_hub_of_files(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST_ROWS", 10)
+    edges = spark.createDataFrame([("hub", f"s{i:03}") for i in range(100)] + [("t1", "t2")], "lf string, rf string")
+    got = {r.file: r.root for r in G.components(edges).collect()}
+    assert got == {**{f"s{i:03}": "hub" for i in range(100)}, "hub": "hub", "t1": "t1", "t2": "t1"}
+
+
+def test_tables_are_deleted(spark):
+    with storage.scratch(spark):
+        kept = storage.written(spark.range(3), "probe")
+        storage.drop_written(kept)
+        path = storage.written(spark.range(3), "probe")._simweave_path
+        assert os.path.exists(path.removeprefix("file://")) and not os.path.exists(kept._simweave_path.removeprefix("file://"))
+    assert not os.path.exists(path.removeprefix("file://"))
