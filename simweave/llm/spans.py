@@ -8,10 +8,12 @@ that share it at once, by rolling hashes of the windows around the anchor, check
 against the characters, and keeps the maximal runs. This is linear in the rows of an anchor:
 no pairs are formed, however many records share one.
 
-Copies of a text are collapsed within each input partition before anything is shuffled, so a
-text that fills a third of the table leaves one row a partition. Anchors with more than
-``hot_rows`` segments do not go to one task: their windows are grouped one by one, with partial
-aggregation, which gives the same rows.
+Texts are known by a digest, whatever ids they stand under. A text leaves an input partition
+under at most two ids, which is all it takes to tell whether its windows occur under more than
+one, so a text that fills a third of the table leaves two rows a partition. Anchors with more
+than ``hot_rows`` segments do not go to one task: their windows are grouped one by one, with
+partial aggregation, which gives the same rows; windows and texts that very many rows have are
+cut into pieces.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from simweave.operators.skew import Pieces, split_join
 from simweave.storage import written
 
 #: Characters of a winnowed anchor, at most ``length``.
@@ -160,8 +164,9 @@ def shared_spans(df: DataFrame, row_id: str, text: str, length: int = 120, ancho
 
     A character counts if it lies in a run of ``length`` characters that also occurs in the text
     of another id; a span is a longest unbroken run of counting characters, in code points, the
-    end exclusive. A null, empty or shorter text has none, rows with a null id are left out, and
-    rows that repeat id and text count once. Other columns are not read.
+    end exclusive. An id with several texts has the spans of each, equal ones once; what its own
+    texts share with each other does not count. A null, empty or shorter text has none, rows with
+    a null id are left out, and rows that repeat id and text count once. Other columns are not read.
     """
     anchor = min(anchor, length)
     rows = df.select(F.col(row_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).where(
@@ -169,19 +174,21 @@ def shared_spans(df: DataFrame, row_id: str, text: str, length: int = 120, ancho
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of two kinds: a member of a text's group (no anchor), and a segment."""
-        first: dict[bytes, int] = {}
+        """Rows of two kinds: an id of a text (no anchor), and a segment of a text under an id."""
+        seen: dict[bytes, int | None] = {}  # the text's first id here, None once it has left under a second one
         for batch in batches:
-            ids, texts, members = [], [], []
+            digests, ids, texts, members = [], [], [], {}
             for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 key = blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                if key not in first:
-                    first[key] = i
+                members[key, i] = None
+                known = seen.get(key, -1) if key in seen else i
+                if key not in seen or (known is not None and known != i):
+                    seen[key] = i if key not in seen else None
+                    digests.append(key)
                     ids.append(i)
                     texts.append(t)
-                members.append((i, first[key], len(t)))
-            own, group, size = zip(*members, strict=True) if members else ((), (), ())
-            yield _batch(group, own, [None] * len(own), [0] * len(own), size, [None] * len(own))
+            none = [None] * len(members)
+            yield _batch([k for k, _ in members], [i for _, i in members], none, none, none)
             at = 0
             while at < len(texts):
                 to, total = at, 0
@@ -190,13 +197,12 @@ def shared_spans(df: DataFrame, row_id: str, text: str, length: int = 120, ancho
                     to += 1
                 who, start, end, key = segments(texts[at:to], length, anchor)
                 picked = [texts[at + w][s:e] for w, s, e in zip(who.tolist(), start.tolist(), end.tolist(), strict=True)]
-                group = np.array(ids[at:to], dtype=np.int64)[who] if len(who) else who
-                yield _batch(group, group, key, start, end, picked)
+                yield _batch([digests[at + w] for w in who.tolist()], np.array(ids[at:to], dtype=np.int64)[who] if len(who) else who, key, start, picked)
                 at = to
 
-    schema = "grp BIGINT, id BIGINT, anchor BIGINT, start BIGINT, `end` BIGINT, part STRING"
+    schema = "grp BINARY, id BIGINT, anchor BIGINT, start BIGINT, part STRING"
     table = written(rows.mapInArrow(cut, schema), "spans")
-    parts = table.where("anchor IS NOT NULL").select("anchor", "grp", "start", "part")
+    parts = table.where("anchor IS NOT NULL").select("anchor", "grp", "id", "start", "part")
     # one partial aggregation; the anchors above the bound are few: at most rows / hot_rows
     hot = parts.groupBy("anchor").count().where(F.col("count") > hot_rows).select("anchor")
     hot = written(hot, "spans-hot")
@@ -212,9 +218,10 @@ def shared_spans(df: DataFrame, row_id: str, text: str, length: int = 120, ancho
             count = np.diff(np.append(np.flatnonzero(new), len(keys)))
             several = np.repeat(count > 1, count)
             held = held.filter(pa.array(several))
-            owners, start = held.column("grp").to_numpy(), held.column("start").to_numpy()
-            row, first, last = _runs(*shared_windows(owners, held.column("part").to_pylist(), length))
-            return _spans(owners[row], start[row] + first, start[row] + last + length)
+            start = held.column("start").to_numpy()
+            row, first, last = _runs(*shared_windows(held.column("id").to_numpy(), held.column("part").to_pylist(), length))
+            group = held.column("grp").take(pa.array(row)).combine_chunks()
+            return pa.RecordBatch.from_arrays([group, pa.array(start[row] + first), pa.array(start[row] + last + length)], names=["grp", "start", "end"])
 
         held: list[pa.RecordBatch] = []
         size = 0
@@ -234,43 +241,29 @@ def shared_spans(df: DataFrame, row_id: str, text: str, length: int = 120, ancho
         if held:
             yield work(pa.Table.from_batches(held))
 
-    usual = parts.join(hot, "anchor", "left_anti").repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(extend, "grp BIGINT, `start` BIGINT, `end` BIGINT")
+    usual = parts.join(hot, "anchor", "left_anti").repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(extend, "grp BINARY, `start` BIGINT, `end` BIGINT")
     found = usual.unionByName(_hot_spans(parts.join(hot, "anchor", "left_semi"), length))
-
-    members = table.where("anchor IS NULL")
-    # a group of two or more in one partition is shared as a whole
-    copies = members.groupBy("grp").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.max("end").alias("end")).where("a <> b").select("grp", F.lit(0).cast("bigint").alias("start"), "end")
-    per_group = found.unionByName(copies).groupBy("grp").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    merged = F.aggregate(
-        "spans",
-        F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]),
-            F.concat(
-                F.slice(acc, 1, F.size(acc) - 1),
-                F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(s))),
-    )
-    spans = per_group.select("grp", merged.alias("spans"))
-    placed = members.select("grp", "id").distinct().join(spans, "grp").select(F.col("id").alias(row_id), F.explode("spans").alias("s"))
-    return placed.select(row_id, F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"))
-
-
-def _batch(group, own, anchor, start, end, part) -> pa.RecordBatch:
-    columns = [pa.array(np.asarray(x) if isinstance(x, np.ndarray) else list(x), pa.int64()) for x in (group, own, anchor, start, end)]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(part, pa.string())], names=["grp", "id", "anchor", "start", "end", "part"])
+    # gaps and islands: a span begins where everything before it has ended
+    order = W.partitionBy("grp").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    begun = found.distinct().withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(order))
+    spans = begun.groupBy("grp", "island").agg(F.min("start").alias("span_start"), F.max("end").alias("span_end")).drop("island")
+    members = written(table.where("anchor IS NULL").select("grp", "id").distinct(), "span-members")
+    placed = split_join(members, spans, ["grp"])
+    return placed.select(F.col("id").alias(row_id), "span_start", "span_end").distinct()
 
 
-def _spans(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (group, start, end)], names=["grp", "start", "end"])
+def _batch(group, own, anchor, start, part) -> pa.RecordBatch:
+    columns = [pa.array(x, pa.int64()) for x in (own, anchor, start)]
+    return pa.RecordBatch.from_arrays([pa.array(group, pa.binary()), *columns, pa.array(part, pa.string())], names=["grp", "id", "anchor", "start", "part"])
 
 
 def _hot_spans(parts: DataFrame, length: int) -> DataFrame:
     """The same spans for the segments of hot anchors, window by window."""
     window = F.explode(F.sequence(F.lit(0), F.length("part") - length)).alias("o")
-    windows = parts.select("grp", "start", "part", window)
+    windows = parts.select("grp", "id", "start", "part", window)
     text = F.expr(f"substring(part, o + 1, {length})")
-    windows = windows.select("grp", (F.col("start") + F.col("o")).alias("start"), F.xxhash64(text).alias("h"), F.md5(text).alias("d"))
-    several = windows.groupBy("h", "d").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).where("a <> b").select("h", "d")
-    return windows.join(several, ["h", "d"], "left_semi").select("grp", "start", (F.col("start") + length).alias("end"))
+    windows = windows.select("grp", "id", (F.col("start") + F.col("o")).alias("start"), F.xxhash64(text).alias("h"), F.md5(text).alias("d"))
+    counts = written(windows.groupBy("h", "d").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("n")), "span-windows")
+    pieces = Pieces.of(counts.select("h", "d", "n"))
+    return pieces.join(windows, counts.where("a <> b").select("h", "d"), ["h", "d"], "left_semi").select("grp", "start", (F.col("start") + length).alias("end"))

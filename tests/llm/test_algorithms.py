@@ -10,6 +10,7 @@ from simweave.llm.neardup import all_pairs, near_duplicates
 from simweave.llm.spans import shared_spans
 from simweave.llm.splitting import LEVELS, boundary_kind, split_oversized, split_spans
 from simweave.llm.topn import LoserTree, merge_runs, top_n
+from simweave.operators import skew
 
 
 @pytest.mark.parametrize("name", ["p1_found", "p2_found", "p2_ranks", "p3_found", "p4_found", "p5_found"])
@@ -231,6 +232,26 @@ def test_spans_against_brute_force(spark, hot_rows):
     assert got == _span_brute(rows, 50)
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+@pytest.mark.parametrize("hot_rows", [200_000, 1])
+def test_ids_with_several_texts(spark, parts, hot_rows):
+    random.seed(8)
+    a, b, c, d = ("".join(random.choice("abcdefghij ") for _ in range(n)) for n in (130, 300, 260, 280))
+    # id 2 has only the short text; 4 shares with itself alone; 6 with 5, and 5 twice
+    rows = [(1, a, ""), (1, b, ""), (2, a, ""), (3, b, ""), (4, c, ""), (4, c + d, ""), (5, d + "x", ""), (5, "y" + d, ""), (6, d, "")]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "id bigint, text string, grp string")
+    got = {tuple(r) for r in shared_spans(df, "id", "text", hot_rows=hot_rows).collect()}
+    assert got == _span_brute(rows, 120) and {r[1:] for r in got if r[0] == 2} == {(0, 130)}
+
+
+def test_copies_under_many_ids(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST_ROWS", 10)
+    rows = [(i, "the same line again and again " * 9) for i in range(60)] + [(100, "x" * 30 + "the same line again and again " * 5)]
+    df = spark.createDataFrame(rows, "id bigint, text string").repartition(3)
+    got = {tuple(r) for r in shared_spans(df, "id", "text", hot_rows=5).collect()}
+    assert got == {(i, 0, 270) for i in range(60)} | {(100, 30, 180)}
+
+
 def test_equal_hashes_are_checked(monkeypatch):
     import numpy as np
 
