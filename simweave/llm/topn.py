@@ -1,27 +1,31 @@
 """Top N rows within every group by merging sorted runs.
 
-Every input partition becomes one sorted run: ordered by bucket, group and rank, and already
-cut to N rows a group, which is exact since a row beyond N in its run is beyond N overall.
-The runs are stored by bucket in the shuffle. A task then merges the runs of its bucket with a
-loser tree and, after N rows of a group, seeks every run to its next group.
-
-A group with a third of all rows leaves at most N rows a run. Where there are more runs than
-``fan_in``, runs are first merged within sub-buckets of at most ``fan_in`` runs each, so that
-no task meets more than N x fan_in rows of one group.
+Every input partition becomes one sorted run, ordered by group and rank by a sort that spills,
+and cut to N rows a group on its way to the disk; that is exact, since a row beyond N in its run
+is beyond N overall. The runs are stored. A task then gets the runs of its groups, group by
+group and run by run, merges the runs of a group with a loser tree, and after N rows goes on to
+the next group. It holds the rows of one group and an Arrow batch at a time.
+
+A group with a third of all rows leaves at most N rows a run. Where there are more than
+``fan_in`` runs, they are merged within spans of ``fan_in`` runs first, so no task meets more
+than N x fan_in rows of one group. How many runs there are is read from what was stored.
 """
 
 from __future__ import annotations
 
-import math
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from simweave.storage import drop_written, written
+
 FAN_IN = 256
+#: Stored rows that make a partition of a merge worth while.
+PARTITION_ROWS = 1_000_000
 
 
 class LoserTree:
@@ -94,81 +98,137 @@ def merge_runs(runs: list[tuple[list, list, list]]) -> Iterator[tuple[int, int]]
             tree.replace(runs[run][1][at[m]] if at[m] < end else None)
 
 
-def _ordered(pdf: pd.DataFrame, first: list[str]) -> pd.DataFrame:
-    """Sorted by ``first``, group, score descending and ties ascending, cut to N a group."""
-    if not len(pdf):
-        return pdf
-    pdf = pdf.assign(_neg=-pdf["_score"].to_numpy())
-    pdf = pdf.sort_values([*first, "_group", "_neg", "_tie", "_id"], kind="stable")
-    rank = pdf.groupby([*first, "_group"], sort=False).cumcount().to_numpy()
-    return pdf[rank < pdf["_n"].to_numpy()].drop(columns="_neg")
+_RUN = "_run BIGINT, _group STRING, _score DOUBLE, _tie STRING, _id STRING, _n INT"
+_NAMES = ["_run", "_group", "_score", "_tie", "_id", "_n"]
+
+
+def _heads(column: pa.Array) -> np.ndarray:
+    """Where a value begins that differs from the one before."""
+    codes = column.dictionary_encode().indices.to_numpy() if pa.types.is_string(column.type) else column.to_numpy()
+    return np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.empty(0, dtype=np.int64)
+
 
+def _sorted_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of the run, cut to N a group; a group may go on in the next batch."""
+    from pyspark import TaskContext
 
-def top_n(df: DataFrame, group: str, score: str, tie: str, row_id: str, n: str, runs: int | None = None, fan_in: int = FAN_IN) -> DataFrame:
+    run = TaskContext.get().partitionId()
+    last, had = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group = batch.column("_group")
+        heads = _heads(group)
+        place = np.arange(len(group)) - np.repeat(heads, np.diff(np.append(heads, len(group))))
+        if group[0].as_py() == last:
+            place[: heads[1] if len(heads) > 1 else None] += had
+        last, had = group[-1].as_py(), int(place[-1]) + 1
+        whole = pa.RecordBatch.from_arrays([pa.array(np.full(len(group), run)), *(batch.column(c) for c in _NAMES[1:])], names=_NAMES)
+        yield whole.filter(pa.array(place < batch.column("_n").to_numpy()))
+
+
+def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows again, cut only between groups."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group = batch.column("_group")
+        at = int(_heads(group)[-1])
+        if held and held[0].column("_group")[0] == group[-1]:
+            held.append(batch)
+            continue
+        if at or held:
+            yield pa.Table.from_batches([*held, batch.slice(0, at)])
+        held = [batch.slice(at)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows in the order of group and run, with the places of each group's first N, in order."""
+    for part in _by_group(batches):
+        part = part.combine_chunks()
+        groups = part.column("_group").combine_chunks()
+        begins, n = _heads(groups), part.column("_n").to_numpy()
+        ends = np.append(begins[1:], len(groups))
+        run = part.column("_run").to_numpy()
+        single = run[begins] == run[ends - 1]
+        picked: list[np.ndarray] = []
+        for begin, end, one in zip(begins.tolist(), ends.tolist(), single.tolist(), strict=True):
+            if one:
+                picked.append(np.arange(begin, min(end, begin + int(n[begin]))))
+                continue
+            own = part.slice(begin, end - begin)
+            keys = list(zip((-own.column("_score").to_numpy()).tolist(), own.column("_tie").to_pylist(), own.column("_id").to_pylist(), strict=True))
+            bounds = [0, *(np.flatnonzero(np.diff(run[begin:end])) + 1).tolist(), end - begin]
+            sizes = n[begin:end].tolist()
+            runs = [([0] * (b - a), keys[a:b], sizes[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+            picked.append(np.array([begin + bounds[r] + i for r, i in merge_runs(runs)], dtype=np.int64))
+        yield part, np.concatenate(picked)
+
+
+def top_n(df: DataFrame, group: str, score: str, tie: str, row_id: str, n: str, fan_in: int = FAN_IN) -> DataFrame:
     """``group, row_id, rank``: the first ``n`` rows of each group.
 
     Rows are ordered by ``score`` descending, then ``tie`` ascending, then ``row_id`` ascending
     (strings by code point); ``rank`` starts at 1. ``n`` names a column that is the same in all
-    rows of a group; where it differs the greatest holds in the final merge, and a group whose n
-    is null or below 1 has no rows. ``runs`` is the number of partitions of ``df``, by default the
-    number of shuffle partitions; it decides on the number of merge passes only. Rows with a null group, tie or id, or a score that is null or NaN,
-    do not compete. Equal rows are separate rows. Other columns are not read.
+    rows of a group; where it differs, the best row of a run says how far the run is read, and
+    the greatest of them holds. A group whose n is null or below 1 has no rows. Rows with a null
+    group, tie or id, or a score that is null or NaN, do not compete. Equal rows are separate
+    rows. Other columns are not read.
     """
-    names = [group, row_id]
     usable = F.col("_group").isNotNull() & F.col("_tie").isNotNull() & F.col("_id").isNotNull() & F.col("_score").isNotNull() & ~F.isnan("_score") & (F.col("_n") >= 1)
     rows = df.select(
         F.col(group).cast("string").alias("_group"),
-        F.col(score).cast("double").alias("_score"),
+        (F.col(score).cast("double") + 0.0).alias("_score"),
         F.col(tie).cast("string").alias("_tie"),
         F.col(row_id).cast("string").alias("_id"),
         F.col(n).cast("int").alias("_n"),
     ).where(usable)
-    run_type = "_run BIGINT, _group STRING, _score DOUBLE, _tie STRING, _id STRING, _n INT"
-
-    def sort_run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        run = TaskContext.get().partitionId()
-        kept, size = [], 0
-        for pdf in parts:
-            kept.append(pdf)
-            size += len(pdf)
-            if size > 400_000:  # cut as it goes, so a run holds little more than its result
-                kept = [_ordered(pd.concat(kept), [])]
-                size = 0
-        if kept:
-            done = _ordered(pd.concat(kept), [])
-            done.insert(0, "_run", run)
-            yield done
-
-    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One bucket: its rows arrive as runs; the loser tree merges them."""
-        pdf = pdf.assign(_neg=-pdf["_score"].to_numpy()).sort_values(["_run", "_group", "_neg", "_tie", "_id"], kind="stable")
-        bounds = np.flatnonzero(np.diff(pdf["_run"].to_numpy(), prepend=-1))
-        groups, ids, ns = pdf["_group"].tolist(), pdf["_id"].tolist(), pdf["_n"].tolist()
-        keys = list(zip(pdf["_neg"].tolist(), pdf["_tie"].tolist(), ids, strict=True))
-        ends = [*bounds[1:].tolist(), len(pdf)]
-        runs = [(groups[b:e], keys[b:e], ns[b:e]) for b, e in zip(bounds.tolist(), ends, strict=True)]
-        picked = [int(bounds[r]) + i for r, i in merge_runs(runs)]
-        return pdf.iloc[picked].drop(columns="_neg")
-
-    def merge_bucket(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(parts) or [pd.DataFrame()])
-        if len(pdf):
-            best = merged(pdf)
-            rank = best.groupby("_group", sort=False).cumcount().to_numpy() + 1
-            yield pd.DataFrame({"_group": best["_group"], "_id": best["_id"], "rank": rank.astype("int32")})
-
-    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_runs = runs or buckets
-    stored = rows.mapInPandas(sort_run, run_type)
-    while n_runs > fan_in:
-        n_runs = math.ceil(n_runs / fan_in)
-
-        def sub_merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            return merged(pdf).assign(_run=key[1])
-
-        bucket = F.pmod(F.xxhash64("_group"), F.lit(buckets)).alias("_bucket")
-        stored = stored.groupBy(bucket, F.expr(f"_run div {fan_in}").alias("_next")).applyInPandas(sub_merge, run_type)
-    ranked = stored.repartition(buckets, "_group").mapInPandas(merge_bucket, "_group STRING, _id STRING, rank INT")
-    return ranked.select(F.col("_group").alias(names[0]), F.col("_id").alias(names[1]), "rank")
+    stored = written(rows.sortWithinPartitions("_group", F.desc("_score"), "_tie", "_id").mapInArrow(_sorted_run, _RUN), "runs")
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def gathered(table: DataFrame, span: str | None = None) -> DataFrame:
+        """The runs of a group, or of a group and a span of runs, in one task: by group, and within it by run and rank."""
+        keys = ["_group", *([F.expr(span)] if span else [])]
+        needed = max(partitions, -(-rows_stored // PARTITION_ROWS))
+        order = [*([F.expr(span)] if span else []), "_group", "_run", F.desc("_score"), "_tie", "_id"]
+        return table.repartition(needed, *keys).sortWithinPartitions(*order)
+
+    rows_stored, runs = stored.agg(F.count(F.lit(1)), F.coalesce(F.max("_run"), F.lit(0)) + 1).first()
+    while runs > fan_in:
+
+        def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def spans() -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
+                for batch in batches:
+                    number = batch.column("_run").to_numpy() // fan_in
+                    cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]
+                    for a, b in zip(cuts, cuts[1:], strict=False):
+                        if b > a:
+                            yield int(number[a]), batch.slice(a, b - a)
+
+            from itertools import groupby
+
+            for number, parts in groupby(spans(), key=lambda x: x[0]):
+                for part, picked in _merged(b for _, b in parts):
+                    best = part.take(pa.array(picked)).set_column(0, "_run", pa.array(np.full(len(picked), number)))
+                    yield from best.combine_chunks().to_batches()
+
+        fewer = written(gathered(stored, f"_run div {fan_in}").mapInArrow(narrowed, _RUN), "runs")
+        drop_written(stored)
+        stored, runs = fewer, -(-runs // fan_in)
+        rows_stored = stored.count()
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, picked in _merged(batches):
+            best = part.select(["_group", "_id"]).take(pa.array(picked)).combine_chunks()
+            if not len(picked):
+                continue
+            names = best.column("_group").combine_chunks()
+            heads = _heads(names)
+            rank = np.arange(len(picked)) - np.repeat(heads, np.diff(np.append(heads, len(picked)))) + 1
+            yield pa.RecordBatch.from_arrays([names, best.column("_id").combine_chunks(), pa.array(rank.astype(np.int32))], names=["_group", "_id", "rank"])
+
+    found = gathered(stored).mapInArrow(ranked, "_group STRING, _id STRING, rank INT")
+    return found.select(F.col("_group").alias(group), F.col("_id").alias(row_id), "rank")

@@ -78,7 +78,7 @@ def test_top_n_against_sorting(spark, fan_in):
     rows = [(random.choice(["hot"] * 5 + ["g1", "g2", None]), random.choice([0.5, 0.25, 0.75, None, float("nan"), 0.1]), random.choice("abc"), f"id{i:03}", 3, "x") for i in range(300)]
     rows += rows[:5] + [("none", 0.5, "a", "z", None, "x"), ("zero", 0.5, "a", "z", 0, "x"), ("g1", 0.9, None, "z", 3, "x")]
     df = spark.createDataFrame(rows, "g string, s double, t string, i string, n int, _group string").repartition(7)
-    got = sorted((r.g, r["rank"], r.i) for r in top_n(df, "g", "s", "t", "i", "n", runs=7, fan_in=fan_in).collect())
+    got = sorted((r.g, r["rank"], r.i) for r in top_n(df, "g", "s", "t", "i", "n", fan_in=fan_in).collect())
     expected = []
     for g in {r[0] for r in rows if r[0]}:
         own = sorted((-r[1], r[2], r[3]) for r in rows if r[0] == g and r[1] is not None and r[1] == r[1] and r[2] is not None and (r[4] or 0) >= 1)
@@ -87,6 +87,19 @@ def test_top_n_against_sorting(spark, fan_in):
     assert top_n(df.limit(0), "g", "s", "t", "i", "n").count() == 0
 
 
+def test_group_longer_than_a_batch(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        rows = spark.range(6_000).select((F.col("id") % 3).alias("g"), (F.col("id") % 977).cast("double").alias("s"), F.lit("t").alias("t"), F.col("id").alias("i"), F.lit(700).alias("n"))
+        rows = rows.where("g <> 1 OR id < 40").repartition(5, "i")
+        got = {(r.g, r["rank"], r.i) for r in top_n(rows, "g", "s", "t", "i", "n", fan_in=2).collect()}
+        local = sorted((str(r.g), -r.s, str(r.i)) for r in rows.collect())
+        wanted = {(g, k, o[2]) for g in "012" for k, o in enumerate([o for o in local if o[0] == g][:700], 1)}
+        assert got == wanted
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 # components
 
 
@@ -121,6 +134,14 @@ def test_components_against_union_find(spark, kind):
     assert got == _union_find(edges)
 
 
+def test_hub_and_large_component(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST_ROWS", 10)
+    random.seed(9)
+    edges = [("m-hub", f"s{i:03}") for i in range(150)] + [(f"s{i:03}", f"a{i:03}") for i in range(0, 150, 3)] + [(f"c{i:03}", f"c{i + 1:03}") for i in range(60)]
+    got = {r.vertex: r.component for r in connected_components(spark.createDataFrame(edges, "a string, b string"), "a", "b").collect()}
+    assert got == _union_find(edges)
+
+
 def test_no_edges(spark):
     df = spark.createDataFrame([], "a string, b string")
     assert connected_components(df, "a", "b").count() == 0
