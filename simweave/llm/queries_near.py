@@ -12,6 +12,15 @@ from simweave.sources.tables import table
 SIMILARITY = 0.72
 
 
+def id_components(pairs: DataFrame) -> DataFrame:
+    """``first, group``: each id of ``a, b`` and the least id that it is connected to."""
+    # numbers of either sign as strings of the same order
+    shift = F.expr("CAST('9223372036854775808' AS DECIMAL(20,0))")
+    edges = pairs.select(*[F.lpad((F.col(c).cast("decimal(20,0)") + shift).cast("decimal(20,0)").cast("string"), 20, "0").alias(c) for c in ("a", "b")])
+    found = connected_components(edges, "a", "b")
+    return found.select(*[(F.col(c).cast("decimal(20,0)") - shift).cast("bigint").alias(name) for c, name in (("vertex", "first"), ("component", "group"))])
+
+
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     found = all_pairs(*near_duplicates(table(spark, directory, "matched_texts"), "match_id", "left_text", SIMILARITY))
     return found.select(F.col("a").alias("match_id_a"), F.col("b").alias("match_id_b"))
@@ -23,9 +32,7 @@ def p4_groups(spark: SparkSession, directory: str) -> DataFrame:
     links = pairs.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count(F.lit(1)).alias("links"))
     same = copies.groupBy("first").agg(F.count(F.lit(1)).alias("copies"))
     firsts = copies.select(F.col("first").alias("id"), "first").distinct().unionByName(copies)
-    padded = lambda c: F.lpad(F.col(c).cast("string"), 20, "0")  # noqa: E731 - the order of numbers as that of strings
-    edges = pairs.select(padded("a").alias("a"), padded("b").alias("b"))
-    groups = connected_components(edges, "a", "b").select(F.col("vertex").cast("bigint").alias("first"), F.col("component").cast("bigint").alias("group"))
+    groups = id_components(pairs)
     texts = groups.select("first").unionByName(same.select("first")).distinct()
     whole = texts.join(groups, "first", "left").join(links, "first", "left").join(same, "first", "left").join(firsts, "first", "left")
     return whole.select(

@@ -173,16 +173,57 @@ def _brute(rows, threshold, gram=5):
     return {(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) * 1000 >= threshold * 1000 * len(sets[a] | sets[b])}
 
 
-@pytest.mark.parametrize(("threshold", "segments", "list_rows"), [(0.72, 0.7, 20_000), (0.72, 0.05, 20_000), (0.72, 0.7, 3), (0.9, 0.7, 20_000)])
-def test_near_duplicates_against_brute_force(spark, monkeypatch, threshold, segments, list_rows):
-    # few segments leave records with too few non-empty ones, so their bands use deletions
+@pytest.mark.parametrize(("threshold", "segments", "list_rows", "entry", "buckets"), [(0.72, 0.7, 20_000, 16, None), (0.72, 0.05, 20_000, 16, 5), (0.72, 0.7, 3, 0, 50), (0.9, 0.7, 20_000, 16, None), (0.72, 0.7, 20_000, 0.05, 300)])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, threshold, segments, list_rows, entry, buckets):
+    # few segments leave records with too few non-empty ones; with cheap entries neighbourhoods cost less for some
     monkeypatch.setattr(neardup, "SEGMENTS", segments)
+    monkeypatch.setattr(neardup, "ENTRY", entry)
+    monkeypatch.setattr(skew, "LEAST_ROWS", 4)
     rows = _texts()
     df = spark.createDataFrame(rows, "id bigint, text string, a string").repartition(3)
-    found = all_pairs(*near_duplicates(df, "id", "text", threshold, list_rows=list_rows))
+    found = all_pairs(*near_duplicates(df, "id", "text", threshold, list_rows=list_rows, buckets=buckets))
     assert {(r.a, r.b) for r in found.collect()} == _brute(rows, threshold)
 
 
+def test_allotment_is_by_record(monkeypatch):
+    import numpy as np
+
+    random.seed(7)
+    t = neardup.Threshold.of(0.72)
+    texts = ["".join(random.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for n in [7, *[180] * 40]]
+    cost = np.zeros(1 << neardup.COUNT_BITS, dtype=np.uint8)
+
+    def kinds(own):
+        sets = neardup.token_sets(own, 5)
+        out = {}
+        for band in neardup._bands(sets, t):
+            e = neardup.allotted(sets, band, t, cost)
+            for r in range(len(own)):
+                out.setdefault(own[r], []).append((band, sorted(e.signature[e.record // neardup.GROUPS == r].tolist())))
+        return out
+
+    alone, together = kinds(texts[1:]), kinds(texts)
+    # a short text beside them changes nothing for the others
+    assert all([x for x in together[text] if x[1]] == [x for x in alone[text] if x[1]] for text in texts[1:])
+    # a text whose segments are all frequent goes to neighbourhoods, the others stay
+    sets = neardup.token_sets(texts[1:], 5)
+    band = int(neardup.band_of(sets.sizes)[0])
+    every = neardup.segment_signatures(sets, band, t)
+    before = neardup.allotted(sets, band, t, cost)
+    cost[neardup._slot(every.signature[every.record // neardup.GROUPS == 3])] = 120
+    made = neardup.allotted(sets, band, t, cost)
+    more = set(made.record[made.second].tolist()) - set(before.record[before.second].tolist())
+    assert {r // neardup.GROUPS for r in more} == {3} and len(more) >= neardup.GROUPS - 2
+
+
+def test_groups_of_negative_ids(spark):
+    from simweave.llm.queries_near import id_components
+
+    pairs = spark.createDataFrame([(-5, 3), (3, 20), (-(1 << 63), -7), (100, (1 << 63) - 1)], "a bigint, b bigint")
+    got = {r["first"]: r.group for r in id_components(pairs).collect()}
+    assert got == {-5: -5, 3: -5, 20: -5, -(1 << 63): -(1 << 63), -7: -(1 << 63), 100: 100, (1 << 63) - 1: 100}
+
+
 @pytest.mark.parametrize(("threshold", "sizes"), [(0.4, (126, 300)), (0.2, (60, 290)), (0.72, (47, 65, 90))])
 def test_near_duplicates_far_apart_in_size(spark, threshold, sizes):
     random.seed(6)
@@ -208,10 +249,10 @@ def test_deletions_alone_find_all(spark):
     for band in neardup._bands(sets, t):
         e = neardup.deletion_signatures(sets, band, t)
         lists = {}
-        for r, s, k in zip(e.record.tolist(), e.signature.tolist(), e.rank.tolist(), strict=True):
+        for r, s, k in zip((e.record // neardup.GROUPS).tolist(), e.signature.tolist(), e.second.tolist(), strict=True):
             lists.setdefault(s, set()).add((r, k))
         for rows in lists.values():
-            found |= {tuple(sorted((a, b))) for (a, x), (b, y) in combinations(rows, 2) if a != b and x + y > -2}
+            found |= {tuple(sorted((a, b))) for (a, x), (b, y) in combinations(rows, 2) if a != b and not (x and y)}
     assert _brute([(i, t, "") for i, t in enumerate(texts)], 0.72) <= found
 
 
