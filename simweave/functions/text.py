@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,6 +44,32 @@ def hash60(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
+# The modulus of the gram hash, and the generators of the multipliers of its two halves.
+GRAM_MODULUS, GRAM_GENERATORS = 4294967291, (16807, 48271)
+
+
+def gram_multipliers(k: int) -> tuple[list[int], list[int]]:
+    """For each half of the hash the multipliers of the ``k`` characters of a gram."""
+    one, two = ([pow(g, 5 * j + 7, GRAM_MODULUS) for j in range(k)] for g in GRAM_GENERATORS)
+    return one, two
+
+
+def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of every run of ``k`` code points: two halves, each a weighted sum of the code points.
+
+    It is linear, so that whole texts are hashed by a few vector operations, and any engine with
+    64-bit integers can compute it.
+    """
+    n = max(0, len(codes) - k + 1)
+    halves = []
+    for multipliers in gram_multipliers(k):
+        total = np.zeros(n, dtype=np.int64)
+        for j, m in enumerate(multipliers):
+            total += codes[j : j + n].astype(np.int64) * m  # 21 bits times 32 bits, at most 12 times
+        halves.append(total % GRAM_MODULUS)
+    return (halves[0] - (1 << 31)) * (1 << 32) + halves[1]
+
+
 def level(score: Column) -> Column:
     return F.when(score >= 0.85, "Extreme").when(score >= 0.70, "High").when(score >= 0.50, "Medium").otherwise("Low")
 

@@ -6,12 +6,16 @@ files matters it is that of the ids.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from simweave.config import HEADER_CHARS, HEADER_PAGES, SKETCH_SIZE, AnalysisConfig
-from simweave.functions.text import hash60, lines, normalize_text
+from simweave.functions.text import gram_hashes, hash60, lines, normalize_text
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
@@ -57,11 +61,56 @@ def chunk_pages(clean: DataFrame, config: AnalysisConfig) -> DataFrame:
     return cut.select("file", (F.row_number().over(order) - 1).alias("chunk"), "page", "start", "end", "text", hash60(F.col("text")).alias("text_hash"))
 
 
+#: Code points that are hashed at once.
+_SLICE = 1 << 20
+
+
+def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
+    """The ascending distinct hashes of the runs of ``k`` characters of each text."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    hashes = gram_hashes(codes, k)
+    row = np.repeat(np.arange(len(texts), dtype=np.uint16), sizes)[: len(hashes)]
+    inside = np.arange(len(hashes)) + k <= np.cumsum(sizes)[row]
+    hashes, row = hashes[inside], row[inside]
+    order = np.argsort(hashes)
+    order = order[np.argsort(row[order], kind="stable")]  # 16-bit numbers are sorted by their digits
+    hashes, row = hashes[order], row[order]
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+    hashes, row = hashes[new], row[new]
+    return np.split(hashes, np.searchsorted(row, np.arange(1, len(texts))))
+
+
+def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of some ``_SLICE`` elements, and fewer than 2 ** 16 rows."""
+    at, ends = 0, np.cumsum(sizes)
+    while at < len(sizes):
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _SLICE, "right"))
+        to = min(max(to, at + 1), at + (1 << 16) - 1)
+        yield at, to
+        at = to
+
+
 def with_shingles(chunks: DataFrame, config: AnalysisConfig) -> DataFrame:
-    """Chunks with ``shingles``, the ascending distinct hashes of their runs of ``shingle_size`` characters."""
+    """Chunks with ``shingles``, the ascending distinct hashes of their runs of ``shingle_size`` characters.
+
+    A narrow map over Arrow batches: as JVM expressions the grams would be cut and hashed by an
+    interpreted function, one at a time.
+    """
     k = config.shingle_size
-    grams = F.transform(F.sequence(F.lit(1), F.length("text") - k + 1), lambda i: hash60(F.substr(F.col("text"), i, F.lit(k))))
-    return chunks.withColumn("shingles", F.array_sort(F.array_distinct(grams)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in _slices(np.array([len(t) for t in texts], dtype=np.int64)):
+                sets = shingle_sets(texts[a:b], k)
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                made = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, made], names=[*batch.schema.names, "shingles"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema.fields)
+    return chunks.mapInArrow(run, f"{schema}, shingles ARRAY<BIGINT>")
 
 
 def sketches(chunks: DataFrame) -> DataFrame:
@@ -70,15 +119,24 @@ def sketches(chunks: DataFrame) -> DataFrame:
 
 
 def simhashes(chunks: DataFrame) -> DataFrame:
-    """``file, chunk, simhash``: 60 majority bits over the distinct hashes; a tie sets the bit."""
-    hashes = chunks.select("file", "chunk", F.explode("shingles").alias("h"))
-    ones = [F.sum(F.shiftright("h", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(60)]
-    counted = hashes.groupBy("file", "chunk").agg(F.count(F.lit(1)).alias("n"), *ones)
-    bits = [F.when(F.col(f"b{i}") * 2 >= F.col("n"), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(60)]
-    total = bits[0].cast("bigint")
-    for bit in bits[1:]:
-        total = total.bitwiseOR(bit.cast("bigint"))
-    return counted.select("file", "chunk", total.alias("simhash"))
+    """``file, chunk, simhash``: 64 majority bits over the distinct hashes; a tie sets the bit. A narrow map."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("shingles")
+            sizes = lists.value_lengths().to_numpy().astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            hashes = lists.flatten().to_numpy()
+            done = []
+            for a, b in _slices(sizes):
+                own = hashes[ends[a] : ends[b]]
+                bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                ones = np.add.reduceat(bits, ends[a:b] - ends[a], axis=0, dtype=np.int32)
+                done.append(np.packbits(ones * 2 >= sizes[a:b, None], axis=1, bitorder="little").view(np.int64).reshape(-1))
+            made = pa.array(np.concatenate(done) if done else np.empty(0, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("chunk"), made], names=["file", "chunk", "simhash"])
+
+    return chunks.where(F.size("shingles") > 0).select("file", "chunk", "shingles").mapInArrow(run, "file STRING, chunk INT, simhash BIGINT")
 
 
 def file_summaries(files: DataFrame, clean: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -16,14 +16,16 @@ def exact_pages(candidates: DataFrame, clean: DataFrame) -> DataFrame:
     Where both files repeat a text, its occurrences pair up by rank: the first with the first,
     and the i-th one of the left with the i-th last of the right.
     """
-    pages = clean.where("char_count >= 1").select("file", "page", "text", "char_count")
-    order = W.partitionBy("file", "text").orderBy("page")
-    ranked = pages.withColumn("rank", F.row_number().over(order) - 1).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("file", "text")))
-    left = ranked.select(F.col("file").alias("lf"), "text", F.col("page").alias("left_page"), F.col("rank").alias("lrank"), "char_count")
-    right = ranked.select(F.col("file").alias("rf"), "text", F.col("page").alias("right_page"), F.col("rank").alias("rrank"), F.col("n").alias("rn"))
-    paired = candidates.select("lf", "rf").join(left, "lf").join(right, ["rf", "text"])
+    pages = clean.where("char_count >= 1").select("file", "page", F.unhex(F.sha2("text", 256)).alias("digest"), "char_count")
+    order = W.partitionBy("file", "digest").orderBy("page")
+    ranked = pages.withColumn("rank", F.row_number().over(order) - 1).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("file", "digest")))
+    left = ranked.select(F.col("file").alias("lf"), "digest", F.col("page").alias("left_page"), F.col("rank").alias("lrank"), "char_count")
+    right = ranked.select(F.col("file").alias("rf"), "digest", F.col("page").alias("right_page"), F.col("rank").alias("rrank"), F.col("n").alias("rn"))
+    paired = candidates.select("lf", "rf").join(left, "lf").join(right, ["rf", "digest"])
     met = paired.where(F.col("rrank") == F.when(F.col("lrank") == 0, 0).otherwise(F.col("rn") - F.col("lrank")))
-    return met.select("lf", "rf", "left_page", "right_page", "char_count", "text")
+    # only the texts of pages that met are moved
+    texts = clean.select(F.col("file").alias("lf"), F.col("page").alias("left_page"), "text")
+    return met.join(texts, ["lf", "left_page"]).select("lf", "rf", "left_page", "right_page", "char_count", "text")
 
 
 def ranked_chunk_pairs(candidates: DataFrame, pairs: DataFrame, config: AnalysisConfig) -> DataFrame:

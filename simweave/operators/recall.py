@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from simweave.config import LOCAL_SHARED, MAX_POSTING, STRONG_SHARED, AnalysisConfig, feature_file_cap
+from simweave.storage import written
 
 
 def features(sketch: DataFrame, files: int) -> DataFrame:
@@ -35,14 +36,16 @@ def chunk_pairs(sketch: DataFrame, feature: DataFrame, files: int) -> DataFrame:
 def candidate_evidence(pairs: DataFrame, config: AnalysisConfig) -> DataFrame:
     """``lf, rf, raw, matches, most, left_chunks, right_chunks`` of the pairs with enough evidence, and ``most_raw`` of all."""
     enough = F.col("shared") >= config.min_shared_shingles
+    # the sets hold numbers of chunks of one file; the number of distinct ones would take an expansion
     per_file = pairs.groupBy("lf", "rf").agg(
         F.sum("weight").alias("raw"),
         F.count_if(enough).alias("matches"),
         F.max(F.when(enough, F.col("shared"))).alias("most"),
-        F.count_distinct(F.when(enough, F.col("lc"))).alias("left_chunks"),
-        F.count_distinct(F.when(enough, F.col("rc"))).alias("right_chunks"),
+        F.size(F.collect_set(F.when(enough, F.col("lc")))).alias("left_chunks"),
+        F.size(F.collect_set(F.when(enough, F.col("rc")))).alias("right_chunks"),
     )
-    top = pairs.groupBy("lf", "rf").agg(F.sum("weight").alias("raw")).agg(F.greatest(F.max("raw"), F.lit(1.0)).alias("most_raw"))
+    per_file = written(per_file, "evidence")
+    top = per_file.agg(F.greatest(F.max("raw"), F.lit(1.0)).alias("most_raw"))
     return per_file.where(f"matches >= 2 OR most >= {STRONG_SHARED}").crossJoin(F.broadcast(top))  # one row
 
 

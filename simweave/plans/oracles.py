@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from simweave import config as K
 from simweave.config import PRESETS, AnalysisConfig
-from simweave.functions.text import KEPT, SPACE, UNREADABLE
+from simweave.functions.text import GRAM_MODULUS, KEPT, SPACE, UNREADABLE, gram_multipliers
 
 _DROP, _WS = f"[^{KEPT}{SPACE}]", f"[{SPACE}]+"
 
@@ -21,6 +21,17 @@ def _hash60(x: str) -> str:
     return f"CAST(concat('0x', substr(md5({x}), 1, 15)) AS BIGINT)"
 
 
+def _hash64(x: str, k: int) -> str:
+    """The hash of a gram of ``k`` characters: two halves of 32 bits, weighted sums of its code points."""
+    halves = ["(" + " + ".join(f"unicode(substring({x}, {j + 1}, 1))::BIGINT * {m}" for j, m in enumerate(ms)) + f") % {GRAM_MODULUS}" for ms in gram_multipliers(k)]
+    return f"(({halves[0]} - 2147483648) * 4294967296 + {halves[1]})"
+
+
+def _majority(bits: str) -> str:
+    """64 bits from ``i, ones, n``, the last one being the sign."""
+    return f"CAST(sum(CASE WHEN ones * 2 < n THEN 0 WHEN i = 63 THEN -9223372036854775808 ELSE CAST(1 AS BIGINT) << i END) AS BIGINT) AS simhash FROM {bits} GROUP BY ALL"
+
+
 _PAGES = {
     "page_texts": """
         corpus AS (SELECT file_id AS file, page, coalesce(arg_max(struct_pack(t := text), extracted_at).t, '') AS text FROM page_texts GROUP BY ALL),
@@ -118,8 +129,9 @@ def _text_stage(corpus: str, c: AnalysisConfig) -> str:
                      substring(text, CAST(start + 1 AS INTEGER), CAST("end" - start AS INTEGER)) AS text
               FROM piece WHERE "end" - start >= {k}),
     chunk_n AS (SELECT file, count(*) AS chunk_count FROM chunk GROUP BY file),
-    shingle AS (SELECT DISTINCT file, chunk, {_hash60(f"substring(text, CAST(i AS INTEGER), {k})")} AS h
-                FROM (SELECT file, chunk, text, unnest(range(1, length(text) - {k} + 2)) AS i FROM chunk)),
+    shingle AS (SELECT DISTINCT file, chunk, {_hash64("gram", k)} AS h
+                FROM (SELECT DISTINCT file, chunk, substring(text, CAST(i AS INTEGER), {k}) AS gram
+                      FROM (SELECT file, chunk, text, unnest(range(1, length(text) - {k} + 2)) AS i FROM chunk))),
     sketch AS (SELECT file, chunk, h FROM (SELECT *, row_number() OVER (PARTITION BY file, chunk ORDER BY h) AS r FROM shingle) WHERE r <= {K.SKETCH_SIZE}),
     feature AS (SELECT h, count(*) AS postings, count(DISTINCT file) AS df FROM sketch GROUP BY h
                 HAVING count(*) BETWEEN 2 AND {K.MAX_POSTING} AND count(DISTINCT file) BETWEEN 2 AND (SELECT CASE WHEN n >= 4 THEN least((n + 1) // 2, {K.MAX_FEATURE_FILES}) ELSE n END FROM total)),
@@ -150,8 +162,8 @@ def _compare_stage(cand: str, c: AnalysisConfig) -> str:
     needed AS (SELECT lf AS file, lc AS chunk FROM ranked UNION SELECT rf, rc FROM ranked),
     own AS (SELECT s.* FROM shingle s SEMI JOIN needed USING (file, chunk)),
     size AS (SELECT file, chunk, count(*) AS n FROM own GROUP BY ALL),
-    bits AS (SELECT file, chunk, i, sum((h >> i) & 1) AS ones, count(*) AS n FROM own, (SELECT unnest(range(0, 60)) AS i) GROUP BY ALL),
-    simhash AS (SELECT file, chunk, CAST(sum(CASE WHEN ones * 2 >= n THEN CAST(1 AS BIGINT) << i ELSE 0 END) AS BIGINT) AS simhash FROM bits GROUP BY ALL),
+    bits AS (SELECT file, chunk, i, sum((h >> i) & 1) AS ones, count(*) AS n FROM own, (SELECT unnest(range(0, 64)) AS i) GROUP BY ALL),
+    simhash AS (SELECT file, chunk, {_majority("bits")}),
     common_h AS (SELECT r.lf, r.lc, r.rf, r.rc, count(*) AS c FROM ranked r JOIN own x ON x.file = r.lf AND x.chunk = r.lc JOIN own y ON y.file = r.rf AND y.chunk = r.rc AND y.h = x.h GROUP BY ALL),
     measured AS (SELECT r.lf, r.lc, r.rf, r.rc, r.rank, r.shared, {_hash60("x.text")} = {_hash60("y.text")} AS same, coalesce(o.c, 0) / CAST(p.n + q.n - coalesce(o.c, 0) AS DOUBLE) AS jaccard,
                         CAST(bit_count(xor(u.simhash, v.simhash)) AS INTEGER) AS distance, r.shared / CAST(greatest(1, least(p.n, q.n)) AS DOUBLE) AS ratio,
@@ -273,8 +285,7 @@ ORACLE_SQL: dict[str, str] = {
     "q_document_candidates": _text("SELECT lf, rf, round(score, 6) AS score FROM text_cand", "documents"),
     "q_document_pairs": _compared(_FLAT, "documents"),
     "q_topk_per_file": _text("SELECT s.lf, s.rf, round(s.score, 6) AS score, t.lf IS NOT NULL AS kept FROM scored s LEFT JOIN text_cand t ON t.lf = s.lf AND t.rf = s.rf"),
-    "q_simhash": _text("""SELECT file, chunk, CAST(sum(CASE WHEN ones * 2 >= n THEN CAST(1 AS BIGINT) << i ELSE 0 END) AS BIGINT) AS simhash
-                          FROM (SELECT file, chunk, i, sum((h >> i) & 1) AS ones, count(*) AS n FROM shingle, (SELECT unnest(range(0, 60)) AS i) GROUP BY ALL) GROUP BY ALL"""),
+    "q_simhash": _text(f"""SELECT file, chunk, {_majority("(SELECT file, chunk, i, sum((h >> i) & 1) AS ones, count(*) AS n FROM shingle, (SELECT unnest(range(0, 64)) AS i) GROUP BY ALL)")}"""),
     "q_jaccard_verify": _compared("SELECT lf, lc, rf, rc, shared, same, round(jaccard, 6) AS jaccard, distance, round(ratio, 6) AS ratio FROM verified"),
     "q_exact_pages": _compared("SELECT lf, rf, left_page, right_page, char_count FROM exact_page"),
     "q_greedy_chunk_matches": _compared("SELECT lf, lc, rf, rc FROM matched"),
