@@ -11,7 +11,8 @@ from simweave.config import PREVIEW_CHARS
 # The letters that normalisation keeps beside ASCII ones and digits (ideographs
 # and private glyph numbers), and Unicode white space.
 KEPT = r"A-Za-z0-9\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{f900}-\x{faff}\x{20000}-\x{323af}\x{f0000}-\x{fffff}"
-SPACE = r"\t\n\x{0b}\x{0c}\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+LINE_SPACE = r"\t\x{0b}\x{0c}\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE = r"\n" + LINE_SPACE
 GLYPHS = r"[\x{f0000}-\x{fffff}]"
 UNREADABLE = "[no readable text: the glyphs have no mapping to characters]"
 
@@ -22,10 +23,16 @@ def normalize_text(text: Column) -> Column:
     Everything else is deleted without leaving a gap. Lower case comes after the deletion, so
     that no other letter turns into an ASCII one.
     """
-    kept = F.regexp_replace(text, f"[^{KEPT}{SPACE}]", "")
+    kept = F.regexp_replace(text, f"[^{KEPT}{SPACE}]+", "")
     return F.trim(F.regexp_replace(F.lower(kept), f"[{SPACE}]+", " "))
 
 
+def normal_lines(text: Column) -> Column:
+    """The lines of a text, each as :func:`normalize_text` makes it, by two passes over the whole text."""
+    kept = F.lower(F.regexp_replace(text, f"[^{KEPT}{SPACE}]+", ""))
+    return F.split(F.trim(F.regexp_replace(kept, f"[{LINE_SPACE}]+", " ")), " ?\n ?")
+
+
 def lines(text: Column) -> Column:
     return F.split(text, "\r?\n")
 

@@ -15,13 +15,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from simweave.config import HEADER_CHARS, HEADER_PAGES, SKETCH_SIZE, AnalysisConfig
-from simweave.functions.text import gram_hashes, hash60, lines, normalize_text
+from simweave.functions.text import gram_hashes, hash60, normal_lines
+from simweave.storage import written
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
     """``file, page, line_no, line``: the normalised lines that are not empty."""
-    exploded = pages.select("file", "page", F.posexplode(lines("text")).alias("line_no", "raw"))
-    return exploded.select("file", "page", "line_no", normalize_text(F.col("raw")).alias("line")).where("line <> ''")
+    return pages.select("file", "page", F.posexplode(normal_lines(F.col("text"))).alias("line_no", "line")).where("line <> ''")
 
 
 def line_frequency(page_line: DataFrame) -> DataFrame:
@@ -32,19 +32,20 @@ def line_frequency(page_line: DataFrame) -> DataFrame:
 def clean_pages(pages: DataFrame) -> DataFrame:
     """``file, page, text, char_count`` without repeated headers and footers; every page stays.
 
-    Only lines that are short enough to be headers are counted and joined, and a file of fewer
-    pages than ``HEADER_PAGES`` is passed by, as no line of it can repeat often enough.
+    A page has one row. Lines are normalised once and stay with their page: only those short
+    enough to be headers are counted, in files of at least ``HEADER_PAGES`` pages, as no line of
+    others can repeat often enough; the repeated lines of a file then meet its pages.
     """
-    page_line = page_lines(pages)
+    normal = written(pages.select("file", "page", normal_lines(F.col("text")).alias("lines")), "lines")
     least = F.greatest(F.lit(HEADER_PAGES), F.expr("count(1) div 20")).alias("least")
-    limits = pages.groupBy("file").agg(least, F.count(F.lit(1)).alias("n")).where(F.col("n") >= HEADER_PAGES).select("file", "least")
-    short = page_line.where(F.length("line") <= HEADER_CHARS).join(limits, "file", "left_semi")
-    repeated = line_frequency(short).join(limits, "file").where("pages >= least").select("file", "line")
-    kept = page_line.join(repeated, ["file", "line"], "left_anti")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), " ")
-    joined = kept.groupBy("file", "page").agg(text.alias("text"))
-    whole = pages.select("file", "page").join(joined, ["file", "page"], "left").select("file", "page", F.coalesce("text", F.lit("")).alias("text"))
-    return whole.withColumn("char_count", F.length("text").cast("bigint"))
+    limits = normal.groupBy("file").agg(least, F.count(F.lit(1)).alias("n")).where(F.col("n") >= HEADER_PAGES).select("file", "least")
+    short = F.filter(F.array_distinct("lines"), lambda x: (x != "") & (F.length(x) <= HEADER_CHARS))
+    counted = normal.join(limits, "file", "left_semi").select("file", F.explode(short).alias("line")).groupBy("file", "line").agg(F.count(F.lit(1)).alias("pages"))
+    repeated = counted.join(limits, "file").where("pages >= least").groupBy("file").agg(F.collect_list("line").alias("repeated"))
+    # at rest, so that adaptive execution can split the pages of a large file
+    joined = normal.join(written(repeated, "headers"), "file", "left")
+    kept = F.filter("lines", lambda x: (x != "") & ~F.coalesce(F.array_contains("repeated", x), F.lit(False)))
+    return joined.select("file", "page", F.array_join(kept, " ").alias("text")).withColumn("char_count", F.length("text").cast("bigint"))
 
 
 def chunk_pages(clean: DataFrame, config: AnalysisConfig) -> DataFrame:

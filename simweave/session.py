@@ -11,6 +11,8 @@ LOCAL_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # small tables are read by all cores
+    "spark.sql.files.openCostInBytes": "262144",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
