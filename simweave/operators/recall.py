@@ -26,7 +26,7 @@ def features(sketch: DataFrame, files: int) -> DataFrame:
 def chunk_pairs(sketch: DataFrame, feature: DataFrame, files: int) -> DataFrame:
     """``lf, lc, rf, rc, shared, weight``: chunks of two files with shared features, lf < rf."""
     weight = F.greatest(F.lit(0.1), F.log(F.lit(float(files)) / (1 + F.col("df")))).alias("weight")
-    kept = sketch.join(feature.select("h", weight), "h")
+    kept = written(sketch.join(feature.select("h", weight), "h"), "postings")
     left = kept.select("h", F.col("file").alias("lf"), F.col("chunk").alias("lc"), "weight")
     right = kept.select("h", F.col("file").alias("rf"), F.col("chunk").alias("rc"))
     met = left.join(right, "h").where("lf < rf")

@@ -58,7 +58,8 @@ class Analysis:
 
     @cached_property
     def features(self) -> DataFrame:
-        return R.features(self.sketch, self.file_count)
+        # at rest, so that adaptive execution can split the postings of a hash that is no feature
+        return written(R.features(self.sketch, self.file_count), "features")
 
     @cached_property
     def chunk_pairs(self) -> DataFrame:
