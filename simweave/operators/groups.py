@@ -48,6 +48,11 @@ def group_relations(pairs: DataFrame, config: AnalysisConfig) -> DataFrame:
     return strong.join(components(strong).withColumnRenamed("file", "lf"), "lf")
 
 
+def group_members(relations: DataFrame) -> DataFrame:
+    """``root, file``: the members of the groups as rows, however large a group is."""
+    return relations.select("root", F.explode(F.array("lf", "rf")).alias("file")).distinct()
+
+
 def group_table(relations: DataFrame) -> DataFrame:
     """One row a group: members, score, level, density, flags and kind of evidence."""
     members = relations.select("root", F.explode(F.array("lf", "rf")).alias("file")).groupBy("root").agg(F.array_sort(F.collect_set("file")).alias("file_ids"))

@@ -116,6 +116,10 @@ class Analysis:
     def relations(self) -> DataFrame:
         return written(G.group_relations(self.pairs, self.config), "relations")
 
+    @property
+    def members(self) -> DataFrame:
+        return G.group_members(self.relations)
+
     @cached_property
     def groups(self) -> DataFrame:
         return G.group_table(self.relations)

@@ -35,23 +35,43 @@ def file_table(analysis: Analysis, files: DataFrame) -> DataFrame:
     )
 
 
-def collect_report(analysis: Analysis, files: DataFrame, task_id: str, started_at: str | None = None) -> dict:
-    """The whole result as plain values, best pairs and groups first."""
-    rows = [r.asDict(recursive=True) for r in file_table(analysis, files).orderBy("id").collect()]
+#: Files and pairs that a report for a reader is made of at most; larger results are tables.
+MAX_REPORT_ROWS = 200_000
+
+
+def unread_table(files: DataFrame) -> DataFrame:
+    """The file table of an analysis that was cancelled before its pages were compared."""
+    zero = [F.lit(0).cast("bigint").alias(c) for c in ("page_count", "total_text_chars", "chunk_count")]
+    state = F.when(F.col("error").isNotNull(), "failed").otherwise("ready")
+    return files.select(F.col("file").alias("id"), F.col("file").alias("path"), file_name(F.col("file")).alias("file_name"), *zero, "image_count", "indexed_image_count", state.alias("status"), "error", "warnings")
+
+
+def collect_report(analysis: Analysis, files: DataFrame, task_id: str, started_at: str | None = None, done_only: bool = False, most: int = MAX_REPORT_ROWS) -> dict:
+    """The whole result as plain values, best pairs and groups first.
+
+    ``done_only`` leaves out what hasn't been computed, so that a cancelled analysis computes
+    nothing more. A result of more than ``most`` files or pairs is an error: it belongs into tables.
+    """
+    has = lambda stage: not done_only or stage in analysis.__dict__
+    n = max(files.count(), analysis.pairs.count() if has("pairs") else 0)
+    if n > most:
+        raise ValueError(f"{n} rows are too many for a report; see write_tables")
+    table = file_table(analysis, files) if has("chunks") else unread_table(files)
+    rows = [r.asDict(recursive=True) for r in table.orderBy("id").collect()]
     warnings = [NOTICE] + [f"{r['file_name']}: {w}" for r in rows for w in r.pop("warnings") or []]
     names = {r["id"]: r["file_name"] for r in rows}
-    pairs = [r.asDict(recursive=True) for r in analysis.pairs.orderBy(F.desc("final_score"), "lf", "rf").collect()]
+    pairs = [r.asDict(recursive=True) for r in analysis.pairs.orderBy(F.desc("final_score"), "lf", "rf").collect()] if has("pairs") else []
     for p in pairs:
         p |= {"left_file_id": p.pop("lf"), "right_file_id": p.pop("rf")}
         p |= {"left_file": names.get(p["left_file_id"], ""), "right_file": names.get(p["right_file_id"], "")}
         p["matched_texts"], p["matched_images"] = p["matched_texts"] or [], p["matched_images"] or []
     by_root: dict[str, list] = {}
-    strong = {r["pair_id"]: r["root"] for r in analysis.relations.select("pair_id", "root").collect()}
+    strong = {r["pair_id"]: r["root"] for r in analysis.relations.select("pair_id", "root").collect()} if has("relations") else {}
     scores = ("text_score", "image_score", "page_image_score", "final_score")
     for p in pairs:
         if p["pair_id"] in strong:
             by_root.setdefault(strong[p["pair_id"]], []).append({k: p[k] for k in ("left_file_id", "right_file_id", "left_file", "right_file", *scores)})
-    groups = [r.asDict(recursive=True) for r in analysis.groups.orderBy(F.desc("group_score"), "group_id").collect()]
+    groups = [r.asDict(recursive=True) for r in analysis.groups.orderBy(F.desc("group_score"), "group_id").collect()] if has("relations") else []
     for g in groups:
         g["files"] = [names.get(f, "") for f in g["file_ids"]]
         g["pair_relations"] = by_root.get(g.pop("root"), [])
@@ -194,10 +214,12 @@ def write_word(report: dict, path: str, include_text_evidence: bool = True) -> s
     return path
 
 
-def write_tables(analysis: Analysis, directory: str) -> None:
-    """Pairs, relations and groups as Parquet, without the driver."""
-    for name in ("pairs", "relations", "groups"):
-        df = getattr(analysis, name)
+def write_tables(analysis: Analysis, directory: str, files: DataFrame | None = None) -> None:
+    """Files, pairs, relations, members and groups as Parquet, without the driver."""
+    tables = {name: getattr(analysis, name) for name in ("pairs", "relations", "members", "groups")}
+    if files is not None:
+        tables["files"] = file_table(analysis, files)
+    for name, df in tables.items():
         void = [c for c, t in df.dtypes if t == "void"]
         df.drop(*void).write.mode("overwrite").parquet(f"{directory}/{name}")
 

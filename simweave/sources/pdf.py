@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simweave.config import CID_BASE, MIN_IMAGE_AREA, MIN_IMAGE_SIDE
+from simweave.sources.jpeg import luma
+from simweave.storage import written
 
 MAX_ERRORS = 3  # text errors that are told of a file
 
@@ -405,19 +407,31 @@ def page_text(document: Document, page: dict, fingerprint: bool = False) -> str:
     return "".join(out)
 
 
+def _side(document: Document, image: Stream, name: str) -> int:
+    """A side of an image; 0 if it is no number that a side can be."""
+    value = document.get(image.dict.get(name, 0))
+    return int(value) if isinstance(value, (int, float)) and 0 <= value < 1 << 31 else 0
+
+
 def _gray(document: Document, image: Stream) -> np.ndarray | None:
     """Pixels as luma, or None if they can't be decoded here."""
     d = image.dict
-    width, height = int(document.get(d.get("Width", 0))), int(document.get(d.get("Height", 0)))
-    if not set(document.filters(image)) <= {"FlateDecode", "LZWDecode", "ASCII85Decode"} or document.get(d.get("BitsPerComponent", 8)) != 8:
+    width, height = _side(document, image, "Width"), _side(document, image, "Height")
+    filters = document.filters(image)
+    if filters[-1:] == ["DCTDecode"]:
+        parms = document.get(d.get("DecodeParms"))
+        parms = document.get(parms[-1]) if isinstance(parms, list) and parms else parms
+        stated = document.get(parms.get("ColorTransform")) if isinstance(parms, dict) else None
+        decode = document.get(d.get("Decode"))
+        turned = True if isinstance(decode, list) and decode[:2] == [1, 0] else None
+        found = luma(document.decoded(image), stated if isinstance(stated, int) else None, turned)
+        return found if found is not None and found.size else None
+    if not set(filters) <= {"FlateDecode", "LZWDecode", "ASCII85Decode"} or document.get(d.get("BitsPerComponent", 8)) != 8:
         return None
     space = document.get(d.get("ColorSpace"))
     space = document.get(space[0]) if isinstance(space, list) and space else space
     channels = {"DeviceGray": 1, "CalGray": 1, "DeviceRGB": 3, "CalRGB": 3, "DeviceCMYK": 4}.get(str(space))
-    try:
-        data = document.decoded(image)
-    except (ValueError, zlib.error):
-        return None
+    data = document.decoded(image)
     if channels is None or len(data) < width * height * channels:
         return None
     pixels = np.frombuffer(data, dtype=np.uint8, count=width * height * channels).reshape(height, width, channels).astype(np.int64)
@@ -481,7 +495,20 @@ class Extract:
     error: str | None = None
 
 
+def _text_or_glyphs(document: Document, page: dict, out: Extract) -> str:
+    """The text of a page, by glyph numbers where its fonts have no characters."""
+    try:
+        return page_text(document, page)
+    except UnmappedFont:
+        text = page_text(document, page, fingerprint=True)
+        if not text:
+            raise
+        out.glyph_fallback = True
+        return text
+
+
 def extract(data: bytes) -> Extract:
+    """Everything of one file; what is broken in it is told and nothing is raised."""
     out = Extract()
     try:
         document = Document(data)
@@ -489,28 +516,33 @@ def extract(data: bytes) -> Extract:
     except Exception as e:  # noqa: BLE001 - a broken file is a row with its error
         out.error = str(e) or type(e).__name__
         return out
-    told = undecoded = 0
+    undecoded = 0
+    told: list[str] = []
     for number, page in enumerate(pages, 1):
         try:
-            text = page_text(document, page)
-        except Exception as e:  # noqa: BLE001
+            text = _text_or_glyphs(document, page, out)
+        except Exception as e:  # noqa: BLE001 - a broken page is an empty one with its error
             text = ""
-            if isinstance(e, UnmappedFont):
-                text = page_text(document, page, fingerprint=True)
-            if text:
-                out.glyph_fallback = True
-            elif told < MAX_ERRORS:
-                told += 1
-                out.warnings.append(f"page {number}: {e}")
+            told.append(f"page {number}: {e or type(e).__name__}")
         out.pages.append(text)
-        for image in page_images(document, page):
+        try:
+            images = page_images(document, page)
+        except Exception as e:  # noqa: BLE001
+            images = []
+            told.append(f"page {number}, images: {e or type(e).__name__}")
+        for image in images:
             out.found_images += 1
-            width, height = (int(document.get(image.dict.get(k, 0)) or 0) for k in ("Width", "Height"))
+            width, height = _side(document, image, "Width"), _side(document, image, "Height")
             if width < MIN_IMAGE_SIDE or height < MIN_IMAGE_SIDE or width * height < MIN_IMAGE_AREA:
                 continue
-            gray = _gray(document, image)
-            undecoded += gray is None
-            out.images.append({"page": number, "width": width, "height": height, "sha256": image_sha(width, height, image.raw), "phash": None if gray is None else perceptual_hash(gray)})
+            try:
+                gray = _gray(document, image)
+                phash = None if gray is None else perceptual_hash(gray)
+            except Exception:  # noqa: BLE001 - an image that can't be decoded still has its content
+                phash = None
+            undecoded += phash is None
+            out.images.append({"page": number, "width": width, "height": height, "sha256": image_sha(width, height, image.raw), "phash": phash})
+    out.warnings += told[:MAX_ERRORS]
     if out.glyph_fallback:
         out.warnings.append("text was read by glyph numbers, as its fonts have no characters")
     if undecoded:
@@ -524,12 +556,18 @@ _SCHEMA = (
 )
 
 
-def parse_pdfs(files: DataFrame) -> DataFrame:
-    """One row for each ``path, content``; see ``_SCHEMA``."""
+def parse_pdfs(files: DataFrame, counters: tuple | None = None) -> DataFrame:
+    """One row for each ``path, content``; see ``_SCHEMA``.
+
+    ``counters`` are accumulators of files and pages, which grow as tasks end.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             rows = [(path, extract(bytes(content))) for path, content in zip(pdf["path"], pdf["content"], strict=True)]
+            if counters:
+                counters[0].add(len(rows))
+                counters[1].add(sum(len(e.pages) for _, e in rows))
             yield pd.DataFrame(
                 {
                     "path": [p for p, _ in rows],
@@ -550,10 +588,10 @@ def pdf_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(paths)
 
 
-def scan_pdfs(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def scan_pdfs(spark: SparkSession, paths: str | list[str], counters: tuple | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(files, pages, images)`` of an analysis. A file's id is its path, in whose order files are compared."""
-    parsed = parse_pdfs(pdf_files(spark, paths))
-    return split_parsed(parsed)
+    # parsed once: three tables are made of it
+    return split_parsed(written(parse_pdfs(pdf_files(spark, paths), counters), "parsed"))
 
 
 def split_parsed(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
