@@ -265,6 +265,12 @@ _EVIDENCE = f"""
            {_shown("l")} AS left_text, {_shown("r")} AS right_text
     FROM listed JOIN pair USING (lf, rf) WHERE n <= {_B.max_matches_per_pair}"""
 
+_PRINTED = """
+    WITH split AS (SELECT doc_id, list_transform(string_split_regex(coalesce(text, ''), '\\r?\\n'), lambda x: trim(regexp_replace(x, '[^ -~]+', '?', 'g'), ' ')) AS ls FROM documents),
+    printed AS (SELECT 'doc-' || doc_id || '.pdf' AS file, CAST(p + 1 AS INTEGER) AS page, list_filter(ls[p * 8 + 1:p * 8 + 8], lambda x: x <> '') AS shown
+                FROM (SELECT doc_id, ls, unnest(range(0, CAST(ceil(len(ls) / 8.0) AS BIGINT))) AS p FROM split)),
+    pages AS (SELECT file, page, array_to_string(shown, chr(10)) AS text FROM printed)"""
+
 ORACLE_SQL: dict[str, str] = {
     "q_normalize_lines": _text("SELECT file, page, line_no, line FROM line", "page_texts"),
     "q_line_frequency": _text("SELECT file, line, pages FROM freq", "page_texts"),
@@ -312,6 +318,17 @@ ORACLE_SQL: dict[str, str] = {
         SELECT count(*) AS files, count(*) FILTER (status IN ('ready', 'cid-fallback', 'image-only')) AS ready_files,
                count(*) FILTER (NOT coalesce(status IN ('ready', 'cid-fallback', 'image-only'), false)) AS failed_files, CAST(sum(image_count) AS BIGINT) AS images FROM f""",
     "q_pairs_over_threshold": "SELECT pair_id, scored_at, final_score FROM (SELECT DISTINCT * FROM similarity_pairs) WHERE final_score >= 0.6 AND NOT isnan(final_score)",
+    "q_group_members": _grouped("SELECT root, file FROM component"),
+    "q_totals_over_threshold": """SELECT count(*) AS pairs, CAST(sum(exact_page_match_count) AS BIGINT) AS exact_pages, CAST(sum(approximate_text_match_count) AS BIGINT) AS approximate_matches,
+        CAST(sum(matched_text_chars) AS BIGINT) AS chars FROM (SELECT DISTINCT * FROM similarity_pairs) WHERE final_score >= 0.6 AND NOT isnan(final_score)""",
+    "q_pair_paths": """WITH p AS (SELECT id, max(path) AS path FROM files WHERE id IS NOT NULL GROUP BY id)
+        SELECT pair_id, left_file_id, l.path AS left_path, right_file_id, r.path AS right_path
+        FROM (SELECT DISTINCT pair_id, left_file_id, right_file_id FROM similarity_pairs) LEFT JOIN p l ON l.id = left_file_id LEFT JOIN p r ON r.id = right_file_id""",
+    "q_pdf_files": _PRINTED + """ SELECT file, file AS name, count(*) AS pages, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(1 AS BIGINT) AS image_count, CAST(1 AS BIGINT) AS indexed_image_count,
+        CASE WHEN sum(length(text)) = 0 THEN 'image-only' ELSE 'ready' END AS status, CAST(NULL AS VARCHAR) AS error FROM pages GROUP BY file""",
+    "q_pdf_pages": _PRINTED + " SELECT file, page, text FROM pages",
+    "q_pdf_images": """SELECT 'doc-' || doc_id || '.pdf' AS file, CAST(0 AS BIGINT) AS image, 1 AS page, 64 AS width, 64 AS height,
+        sha256(unhex('0000004000000040') || encode(repeat(md5(CAST(doc_id AS VARCHAR)), 128))) AS sha256 FROM documents""",
     "q_files_summary": _text("""SELECT f.file, coalesce(p.n, 0) AS page_count, CAST(coalesce(p.chars, 0) AS BIGINT) AS total_text_chars, coalesce(c.chunk_count, 0) AS chunk_count
         FROM files_in f LEFT JOIN (SELECT file, count(*) AS n, sum(char_count) AS chars FROM clean GROUP BY file) p USING (file) LEFT JOIN chunk_n c USING (file)"""),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simweave.config import PRESETS
-from simweave.functions.text import is_readable, normalize_text, preview
+from simweave.functions.text import file_name, is_readable, normalize_text, preview, status
 from simweave.operators import chunks as C
 from simweave.operators import compare as X
 from simweave.operators import groups as G
@@ -16,7 +16,10 @@ from simweave.operators import images as I
 from simweave.plans.oracles import ORACLE_SQL
 from simweave.plans.pipeline import Analysis
 from simweave.sources.corpus import document_corpus, document_files, evidence_corpus, evidence_files, image_corpus, page_corpus
+from simweave.sources.pdf import parse_pdfs, split_parsed
+from simweave.sources.printed import printed_documents
 from simweave.sources.tables import table
+from simweave.storage import written
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -220,6 +223,47 @@ def report_totals(spark, d):
     )
 
 
+def _printed(spark, d):
+    files, pages, images = split_parsed(written(parse_pdfs(printed_documents(table(spark, d, "documents"))), "printed"))
+    return files, pages.withColumn("text", F.regexp_replace("text", "\n$", "")), images  # the end of the last line is no content
+
+
+def pdf_files(spark, d):
+    """Every document printed as a PDF file and read again: its status and counts."""
+    files, pages, images = _printed(spark, d)
+    per_file = pages.groupBy("file").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.length("text")).alias("chars"))
+    rows = files.join(per_file, "file")
+    return rows.select("file", file_name(F.col("file")).alias("name"), "pages", "chars", "image_count", "indexed_image_count", status(F.col("chars"), F.col("image_count"), F.col("glyph_fallback")).alias("status"), "error")
+
+
+def pdf_pages(spark, d):
+    return _printed(spark, d)[1]
+
+
+def pdf_images(spark, d):
+    return _printed(spark, d)[2].select("file", "image", "page", "width", "height", "sha256")
+
+
+def pages_over_threshold(spark, d):
+    """Totals of the report table over the distinct pairs at or above the slider."""
+    return pairs_over_threshold(spark, d).join(table(spark, d, "similarity_pairs").distinct(), ["pair_id", "scored_at", "final_score"]).agg(
+        F.count(F.lit(1)).alias("pairs"), F.sum("exact_page_match_count").alias("exact_pages"), F.sum("approximate_text_match_count").alias("approximate_matches"), F.sum("matched_text_chars").alias("chars")
+    )
+
+
+def group_members(spark, d):
+    return analysis(spark, d).members
+
+
+def pair_paths(spark, d):
+    """Current paths of both files of every distinct pair; null for files without a row."""
+    paths = table(spark, d, "files").where("id IS NOT NULL").groupBy("id").agg(F.max("path").alias("path"))
+    paths = written(paths, "paths")
+    pairs = table(spark, d, "similarity_pairs").select("pair_id", "left_file_id", "right_file_id").distinct()
+    left, right = (paths.select(F.col("id").alias(f"{s}_file_id"), F.col("path").alias(f"{s}_path")) for s in ("left", "right"))
+    return pairs.join(left, "left_file_id", "left").join(right, "right_file_id", "left").select("pair_id", "left_file_id", "left_path", "right_file_id", "right_path")
+
+
 def files_summary(spark, d):
     return analysis(spark, d).summaries
 
@@ -276,4 +320,10 @@ QUERIES = {
     "q_report_totals": report_totals,
     "q_pairs_over_threshold": pairs_over_threshold,
     "q_files_summary": files_summary,
+    "q_group_members": group_members,
+    "q_totals_over_threshold": pages_over_threshold,
+    "q_pair_paths": pair_paths,
+    "q_pdf_files": pdf_files,
+    "q_pdf_pages": pdf_pages,
+    "q_pdf_images": pdf_images,
 }

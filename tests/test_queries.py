@@ -7,6 +7,7 @@ from simweave.plans.queries import ORACLE_SQL, QUERIES
 STAGES = [
     "q_normalize_lines", "q_clean_documents", "q_chunks", "q_posting_filter", "q_chunk_pairs", "q_text_candidates", "q_text_candidates_deep", "q_simhash",
     "q_jaccard_verify", "q_coverage", "q_pairs_full", "q_groups", "q_run_totals", "q_files_summary", "q_report_totals", "q_image_match",
+    "q_group_members", "q_totals_over_threshold", "q_pair_paths", "q_pdf_files", "q_pdf_pages", "q_pdf_images",
 ]
 
 
