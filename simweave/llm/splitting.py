@@ -1,8 +1,9 @@
 """Splitting oversized texts at natural boundaries.
 
 A recursive hierarchy of separators (section, paragraph, sentence, word, character): a piece
-is packed greedily up to the limit and ends at the last boundary of the coarsest kind that
-occurs where the piece may end; the next piece starts ``overlap`` characters before that end.
+is packed greedily up to the limit and ends at the last boundary of the coarsest kind that leaves
+it at least half of the new text it has room for; where there is none, at the last boundary of
+the coarsest kind that leaves it any. The next piece starts ``overlap`` characters before that end.
 """
 
 from __future__ import annotations
@@ -45,16 +46,19 @@ def split_spans(text: str, target: int | None, overlap: int | None) -> list[tupl
     spans, start = [], 0
     while n - start > target:
         low, high = start + overlap + 1, start + target
-        end = 0
+        end, lasts = 0, []
         for level, pattern in enumerate(LEVELS):
             if found[level] is None:
                 found[level] = [m.end() for m in pattern.finditer(text)]
             ends = found[level]
             at = bisect_right(ends, high)
-            if at and ends[at - 1] >= low:
-                end = ends[at - 1]
+            lasts.append(ends[at - 1] if at else 0)
+            if lasts[-1] >= start + overlap + (target - overlap + 1) // 2:
+                end = lasts[-1]
                 break
         else:
+            end = next((e for e in lasts if e >= low), 0)
+        if not end:
             end = high
             # a cut between characters stays out of a line end and before no combining mark
             while end > low and (unicodedata.combining(text[end]) or text[end - 1 : end + 1] == "\r\n"):
