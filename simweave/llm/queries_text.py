@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from simweave.llm.visual import visual_forms
+from simweave.llm.visual import fold_sql, visual_forms
 from simweave.sources.tables import table
 
 
@@ -22,4 +22,8 @@ def p7_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found, "p7_forms": p7_forms}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "p7_found": f"""SELECT DISTINCT match_id FROM matched_texts WHERE left_text IS NOT NULL AND right_text IS NOT NULL AND left_text <> right_text
+        AND {fold_sql("left_text")} = {fold_sql("right_text")}""",
+    "p7_forms": f"""SELECT match_id, {fold_sql("left_text")} AS left_text, {fold_sql("right_text")} AS right_text FROM (SELECT DISTINCT match_id, left_text, right_text FROM matched_texts)""",
+}

@@ -17,7 +17,9 @@ import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +34,13 @@ LOOK_ALIKE = (
     # Greek and Cyrillic capitals without a Latin twin
     ("ГПФ", "ΓΠΦ"),
     # Armenian
-    ("օ", "o"),
+    ("ՕՏսհոցօ", "OSuhngo"),
+    # Cherokee
+    ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏔᏚᏙᏞᏟᏢᏦ", "DRTAJEWMHGZWSVLCPK"),
+    # Lisu
+    ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
+    # Coptic
+    ("ⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ", "BHIKMNOPCTYXopc"),
 )
 # Kinds of hyphen (the dashes, which are longer, are not among them).
 HYPHENS = "‐‑‒⁃−﹣－"
@@ -44,6 +52,8 @@ INVISIBLE = "͏ᅟᅠ឴឵ㅤﾠ"
 VISIBLE_KINDS = ("<super>", "<sub>", "<circle>", "<fraction>", "<square>")
 #: Blocks whose mapped characters are usual: spaces and format characters, Cyrillic and Greek letters, full-width ASCII.
 _USUAL = ((0xA0, 0x100), (0x386, 0x3F0), (0x400, 0x530), (0x2000, 0x2070), (0x3000, 0x3001), (0xFEFF, 0xFF5F))
+#: Code points that DuckDB is given at once, and its bound of memory.
+SLICE, MEMORY = 4_000_000, "512MB"
 _RANGES = ((0xA0, 0x3400), (0xA000, 0xAC00), (0xF900, 0x10000), (0x1D400, 0x1D800), (0xE0000, 0xE01F0))
 
 
@@ -128,14 +138,23 @@ def visual_forms(df: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
     schema = ", ".join(f"`{c}` {types[c]}" for c in [*keys, *texts])
     aliases = [f"t{i}" for i in range(len(texts))]
 
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size = np.cumsum(sum(pc.fill_null(pc.utf8_length(batch.column(t)), 0).to_numpy().astype(np.int64) for t in texts))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE, "right")))
+                yield batch.slice(at, to - at)
+                at = to
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        con = duckdb.connect(config={"threads": 1})
+        con = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
         sql = "SELECT " + ", ".join(f"{fold_sql(a)} AS {a}" for a in aliases) + " FROM part"
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in parted(batches):
             part = pa.table([batch.column(t) for t in texts], names=aliases)
             con.register("part", part)
             done = con.sql(sql).to_arrow_table()
