@@ -6,7 +6,8 @@ words are shuffled by word, each distinct word is encoded once, its ids are join
 blocks that have it, and every block reassembles its texts by position. Decoding joins the
 table of the tokens' bytes.
 
-A word as frequent as white space has one row a block, so no word makes a hot task.
+A word has one row a block. Words are shuffled together with a range of 1,024 input partitions,
+and encoded once in each, so a word that occurs everywhere makes no hot task at any size.
 """
 
 from __future__ import annotations
@@ -147,7 +148,7 @@ def encode_corpus(df: DataFrame, row_id: str, text: str, vocabulary_file: str |
     table = written(rows.mapInArrow(cut, "part BIGINT, word STRING, code INT, docs ARRAY<BIGINT>, lengths ARRAY<INT>, positions BINARY"), "tokens")
     words = table.where("code IS NOT NULL").select("part", "word", "code")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    encoded = words.repartition(n, "word").sortWithinPartitions("word").mapInArrow(encode, "part BIGINT, code INT, ids BINARY")
+    encoded = words.repartition(n, "word", F.shiftright("part", 42)).sortWithinPartitions("word").mapInArrow(encode, "part BIGINT, code INT, ids BINARY")
     blocks = table.where("code IS NULL").select("part", "docs", "lengths", "positions")
     schema = "id BIGINT, tokens BIGINT" if counts else "id BIGINT, ids ARRAY<INT>"
     return blocks.groupBy("part").cogroup(encoded.groupBy("part")).applyInArrow(reassemble, schema).withColumnRenamed("id", row_id)
