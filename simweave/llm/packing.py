@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from simweave.storage import written
 
-#: Buckets by which items of one size are ranked, so that a frequent size is no hot group.
-RANK_BUCKETS = 256
+#: Items that are ranked together; a size with more is ranked in as many buckets as it takes.
+RANK_ROWS = 50_000
 
 
 class TightestFit:
@@ -110,12 +110,12 @@ def fill_containers(df: DataFrame, row_id: str, size: str, capacity: int) -> Dat
     items = df.select(F.col(row_id).cast("bigint").alias("id"), F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)).alias("whole"))
     last = F.greatest(F.ceil(F.col("whole") / capacity).cast("bigint") - 1, F.lit(0))
     pieces = items.select("id", "whole", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("piece"))
-    pieces = written(
-        pieces.select("id", "piece", F.least(F.col("whole") - F.col("piece") * capacity, F.lit(capacity)).alias("size"), F.pmod(F.xxhash64("id", "piece"), F.lit(RANK_BUCKETS)).alias("bucket")),
-        "items",
-    )
+    pieces = written(pieces.select("id", "piece", F.least(F.col("whole") - F.col("piece") * capacity, F.lit(capacity)).alias("size")), "items")
+    sizes = pieces.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
+    histogram = {r["size"]: r["n"] for r in sizes.collect()}  # at most capacity + 1 rows
+    buckets = df.sparkSession.createDataFrame([(s, -(-n // RANK_ROWS)) for s, n in histogram.items()], "size BIGINT, buckets BIGINT")
+    pieces = pieces.join(F.broadcast(buckets), "size").select("id", "piece", "size", F.pmod(F.xxhash64("id", "piece"), F.col("buckets")).alias("bucket"))
     counts = pieces.groupBy("size", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    histogram = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # at most capacity + 1 rows
     histogram.pop(0, None)
     runs, total = best_fit_plan(histogram, capacity)
     runs.sort()
