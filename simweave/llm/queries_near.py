@@ -45,14 +45,22 @@ def p4_groups(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups}
 
-ORACLE_SQL = {
-    "p4_found": """
-        WITH t AS (SELECT DISTINCT match_id, left_text FROM matched_texts WHERE length(left_text) >= 5),
+_SIMILAR = """
+    WITH RECURSIVE t AS (SELECT DISTINCT match_id, left_text FROM matched_texts WHERE length(left_text) >= 5),
              g AS (SELECT DISTINCT match_id, substring(left_text, CAST(i AS INTEGER), 5) AS s
                    FROM (SELECT match_id, left_text, unnest(range(1, length(left_text) - 3)) AS i FROM t)),
              n AS (SELECT match_id, count(*) AS n FROM g GROUP BY match_id),
-             c AS (SELECT a.match_id AS x, b.match_id AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.match_id < b.match_id GROUP BY ALL)
-        SELECT x AS match_id_a, y AS match_id_b FROM c JOIN n p ON p.match_id = x JOIN n q ON q.match_id = y
-        WHERE c.c * 100 >= 72 * (p.n + q.n - c.c)
+             c AS (SELECT a.match_id AS x, b.match_id AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.match_id < b.match_id GROUP BY ALL),
+             pair AS (SELECT x, y FROM c JOIN n p ON p.match_id = x JOIN n q ON q.match_id = y WHERE c.c * 100 >= 72 * (p.n + q.n - c.c))
+"""
+ORACLE_SQL = {
+    "p4_found": _SIMILAR + "SELECT x AS match_id_a, y AS match_id_b FROM pair",
+    # in the test tables no match has two texts
+    "p4_groups": _SIMILAR + """,
+        edge AS (SELECT x AS a, y AS b FROM pair UNION SELECT y, x FROM pair),
+        reach AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON e.a = r.b),
+        linked AS (SELECT a, count(DISTINCT y.left_text) FILTER (x.left_text <> y.left_text) AS links, count(*) FILTER (x.left_text = y.left_text) AS copies
+                   FROM edge JOIN t x ON x.match_id = a JOIN t y ON y.match_id = b GROUP BY a)
+        SELECT r.a AS match_id, min(r.b) AS group_match_id, any_value(links) AS links, any_value(copies) AS copies FROM reach r JOIN linked ON linked.a = r.a GROUP BY r.a
     """,
 }

@@ -27,15 +27,24 @@ def p5_shares(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES = {"p5_found": p5_found, "p5_shares": p5_shares}
 
-ORACLE_SQL = {
-    "p5_found": """
+_SPANS = """
         WITH t AS (SELECT DISTINCT match_id, left_text FROM matched_texts WHERE length(left_text) >= 120),
              w AS (SELECT match_id, unnest(range(0, length(left_text) - 119)) AS o, left_text FROM t),
              h AS (SELECT match_id, o, substring(left_text, o + 1, 120) AS s FROM w),
              shared AS (SELECT s FROM h GROUP BY s HAVING count(DISTINCT match_id) > 1),
              hit AS (SELECT DISTINCT match_id, o FROM h SEMI JOIN shared USING (s)),
              marked AS (SELECT match_id, o, CASE WHEN o - lag(o) OVER (PARTITION BY match_id ORDER BY o) <= 120 THEN 0 ELSE 1 END AS new FROM hit),
-             numbered AS (SELECT match_id, o, sum(new) OVER (PARTITION BY match_id ORDER BY o) AS run FROM marked)
-        SELECT match_id, min(o) AS span_start, max(o) + 120 AS span_end FROM numbered GROUP BY match_id, run
+             numbered AS (SELECT match_id, o, sum(new) OVER (PARTITION BY match_id ORDER BY o) AS run FROM marked),
+             span AS (SELECT match_id, min(o) AS span_start, max(o) + 120 AS span_end FROM numbered GROUP BY match_id, run)
+"""
+# in the test tables no match has two texts
+ORACLE_SQL = {
+    "p5_found": _SPANS + "SELECT match_id, span_start, span_end FROM span",
+    "p5_shares": _SPANS + """,
+        own AS (SELECT match_id, max(pair_id) AS pair_id, max(length(left_text)) AS chars FROM matched_texts GROUP BY match_id),
+        total AS (SELECT match_id, CAST(sum(span_end - span_start) AS BIGINT) AS n, count(*) AS spans FROM span GROUP BY match_id),
+        current AS (SELECT pair_id, max_by(struct_pack(c := matched_text_chars, p := exact_page_match_count), scored_at) AS v FROM similarity_pairs GROUP BY pair_id)
+        SELECT match_id, CAST(chars AS INTEGER) AS chars, coalesce(n, 0) AS shared_chars, coalesce(spans, 0) AS spans, v.c AS matched_text_chars, v.p AS exact_page_match_count
+        FROM own LEFT JOIN total USING (match_id) LEFT JOIN current USING (pair_id)
     """,
 }

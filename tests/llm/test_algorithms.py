@@ -13,7 +13,7 @@ from simweave.llm.topn import LoserTree, merge_runs, top_n
 from simweave.operators import skew
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p2_ranks", "p3_found", "p4_found", "p5_found"])
+@pytest.mark.parametrize("name", ["p1_found", "p1_coverage", "p2_found", "p2_ranks", "p3_found", "p4_found", "p4_groups", "p5_found", "p5_shares", "p7_found", "p7_forms", "p9_whole"])
 def test_query_equals_sql(name, same_as_sql):
     from simweave.llm.queries import ORACLE_SQL, QUERIES
 
@@ -32,10 +32,21 @@ def test_pieces_cover_and_overlap(seed):
     assert found[0][0] == 0 and found[-1][1] == len(text)
     for (a, b), (c, d) in zip(found, found[1:], strict=False):
         assert 0 < b - a <= target and c == b - overlap and d > b
-        # no coarser boundary would have been possible
+        # no coarser boundary would have been possible, with half of the room used if this one does so
         kind = boundary_kind(text, b)
+        half = a + overlap + (target - overlap + 1) // 2
         for pattern in LEVELS[:kind]:
-            assert not any(a + overlap < m.end() <= a + target for m in pattern.finditer(text))
+            assert not any((half if b >= half else a + overlap + 1) <= m.end() <= a + target for m in pattern.finditer(text))
+        if b < half:
+            assert not any(half <= m.end() <= a + target for pattern in LEVELS for m in pattern.finditer(text))
+
+
+def test_pieces_have_new_text():
+    # a section ends just past the overlap; the piece goes on to a lesser boundary
+    text = "w" * 60 + " " + "x" * 22 + "\n\n\n" + "Some words follow here. " * 60
+    found = split_spans(text, 500, 80)
+    assert found[0][1] > 290 and all(d - b >= 210 for (_, b), (_, d) in zip(found, found[1:-1], strict=False))
+    assert split_spans("a" * 45 + " " + "b" * 200, 100, 20)[0] == (0, 46)
 
 
 def test_split_edges(spark):
