@@ -4,10 +4,13 @@ The statistics are native expressions over the lines of a text: lines are explod
 generated code and summed per document by a partial aggregation, so the shuffle carries one row
 of numbers per document and no text.
 
-The rules are induced by incremental reduced-error pruning on labelled documents (IREP, with the
-rule value of RIPPER): a rule is grown on two thirds of the labels by the gain of its conditions,
-its last conditions are pruned on the last third, what it covers is set aside, and so on until
-the next rule errs on half of what it covers. The list becomes one SQL CASE expression.
+No statistic decides by itself what prose is: shares of lines are given for a ladder of densities,
+and which of them matter, and from where on, is learned. The rules are induced by incremental
+reduced-error pruning on labelled documents (IREP, with the rule value of RIPPER): a rule is grown
+on two thirds of the labels by the gain of its conditions, its last conditions are pruned on the
+last third, what it covers is set aside, and so on until the next rule errs on half of what it
+covers. Then each threshold in turn is moved to where the whole list errs least. The list becomes
+one SQL CASE expression.
 """
 
 from __future__ import annotations
@@ -35,6 +38,10 @@ _LEADER = r"\.{4,}|…{2,}|(?:\. ?){4,}|_{4,}|·{4,}"
 _MENU = r" [>|»/] |>>|<<"
 _CODE = r"[A-Za-z0-9+/=]{40,}|\b[0-9a-f]{2}(?: [0-9a-f]{2}){5,}"
 
+#: One common word, or common character, in so many of a line.
+DENSITIES = (4, 8, 16, 32)
+#: So many cells, or more, in a line.
+CELLS = (1, 3, 6)
 #: Statistics that the rules may use, all between documents of any length comparable.
 FEATURES = (
     "mean_word_length",
@@ -44,11 +51,10 @@ FEATURES = (
     "punctuated_lines",
     "sentence_rate",
     "common_share",
-    "common_char_share",
-    "sentence_share",
-    "clause_share",
-    "marked_lines",
-    "cell_share",
+    *(f"common_{k}" for k in DENSITIES),
+    "ended_share",
+    "item_share",
+    *(f"cells_{k}" for k in CELLS),
     "repeated_share",
     "leader_share",
     "menu_rate",
@@ -81,25 +87,29 @@ def text_statistics(df: DataFrame, row_id: str, text: str, common_words: DataFra
         F.col(row_id).alias("id"),
         F.regexp_count(whole, F.lit(r"(?m)^.*\S")).alias("lines"),
         F.regexp_count(whole, F.lit(f"(?m){_LINE_END}")).alias("punctuated"),
-        F.regexp_count(whole, F.lit(f"(?m){_MARKER}")).alias("marked"),
         F.split(F.regexp_replace(whole, _WRAP, " "), r"\r?\n").alias("own"),
     )
-    neighbours = F.arrays_zip("own", F.concat(F.array(F.lit(None).cast("string")), F.col("own")).alias("before"), F.slice("own", 2, 1 << 30).alias("after"))
-    rows = rows.select("id", "lines", "punctuated", "marked", F.posexplode(neighbours).alias("no", "line")).where("line.own IS NOT NULL")
+    ends = F.transform("own", lambda x: F.regexp_count(x, F.lit(_SENTENCE_END)))
+    marks = F.transform("own", lambda x: F.regexp_count(x, F.lit(f"[，。：；](?=[{_CJK}])|[，。]")))
+    rows = rows.select("id", "lines", "punctuated", "own", ends.alias("ends"), marks.alias("marks"))
+    following = [F.slice(c, 2, 1 << 30).alias(f"after_{c}") for c in ("own", "ends", "marks")]
+    neighbours = F.arrays_zip("own", "ends", "marks", F.concat(F.array(F.lit(None).cast("string")), F.col("own")).alias("before"), *following)
+    rows = rows.select("id", "lines", "punctuated", F.posexplode(neighbours).alias("no", "line")).where("line.own IS NOT NULL")
     measured = rows.select(
         "id",
         "no",
-        *[F.when(F.col("no") == 0, F.col(c)).otherwise(0).alias(c) for c in ("lines", "punctuated", "marked")],
+        *[F.when(F.col("no") == 0, F.col(c)).otherwise(0).alias(c) for c in ("lines", "punctuated")],
         (F.length(line) - F.regexp_count(line, F.lit(r"[\s\p{Z}]"))).alias("ink"),
-        (F.coalesce(line == F.col("line.before"), F.lit(False)) | F.coalesce(line == F.col("line.after"), F.lit(False))).alias("repeated"),
+        (F.coalesce(line == F.col("line.before"), F.lit(False)) | F.coalesce(line == F.col("line.after_own"), F.lit(False))).alias("repeated"),
         tokens.alias("tokens"),
         F.regexp_count(line, F.lit(f"[{_CJK}]")).alias("cjk"),
         (F.regexp_count(line, F.lit(f"[{single}]")) if single else F.lit(0)).alias("cjk_common"),
         F.regexp_count(line, F.lit(r"[^\p{L}\p{M}\p{N}\s\p{Z}\p{Co}]")).alias("symbols"),
         F.regexp_count(line, F.lit(r"\p{N}")).alias("digits"),
         F.regexp_count(line, F.lit(f"[{_PRIVATE}]")).alias("private"),
-        F.regexp_count(line, F.lit(_SENTENCE_END)).alias("ends"),
-        F.regexp_count(line, F.lit(f"[，。：；](?=[{_CJK}])|[，。]")).alias("cjk_marks"),
+        (F.col("line.ends") + F.col("line.marks")).alias("ends"),
+        # a sentence may end on the next line
+        (F.col("line.ends") + F.col("line.marks") + F.coalesce("line.after_ends", F.lit(0)) + F.coalesce("line.after_marks", F.lit(0)) > 0).alias("ended"),
         F.regexp_count(line, F.lit(_CELL)).alias("cells"),
         F.regexp_count(line, F.lit(_MENU)).alias("menus"),
         line.rlike(_MARKER).alias("item"),
@@ -108,15 +118,10 @@ def text_statistics(df: DataFrame, row_id: str, text: str, common_words: DataFra
     )
     counted = measured.select(
         "*",
-        F.size("tokens").alias("n_words"),
+        (F.size("tokens") + F.col("cjk")).alias("n_words"),
         F.aggregate("tokens", F.lit(0), lambda n, w: n + F.length(w)).alias("letters"),
-        F.size(F.filter("tokens", lambda w: w.isin(spelled))).alias("common") if spelled else F.lit(0).alias("common"),
+        (F.col("cjk_common") + (F.size(F.filter("tokens", lambda w: w.isin(spelled))) if spelled else F.lit(0))).alias("common"),
     )
-    # a line of running text has function words, or clause marks between CJK characters, and few cells
-    few_cells = F.col("cells") <= 2 + F.col("ends")
-    short_item = F.col("item") & (F.col("ink") < 70) & (F.col("ends") <= 1)
-    running = ~F.col("repeated") & ~F.col("code") & ~short_item & ((F.col("common") >= 1) & (F.col("common") * 14 >= F.col("n_words")) | (F.col("cjk") >= 5) & (F.col("cjk_marks") >= 1) & (F.col("ink") >= 12)) & few_cells
-    with_end = (F.col("ends") >= 1) | (F.col("cjk_marks") >= 2)
     ink = F.sum("ink")
 
     def over(a: Column, b: Column) -> Column:
@@ -127,7 +132,7 @@ def text_statistics(df: DataFrame, row_id: str, text: str, common_words: DataFra
 
     lines = F.sum("lines")
     copies = F.greatest(F.count_if(F.col("no") == 0), F.lit(1))
-    all_words = F.sum(F.col("n_words") + F.col("cjk"))
+    all_words = F.sum("n_words")
     return counted.groupBy("id").agg(
         (ink / copies).cast("bigint").alias("chars"),
         (all_words / copies).cast("bigint").alias("words"),
@@ -138,12 +143,11 @@ def text_statistics(df: DataFrame, row_id: str, text: str, common_words: DataFra
         over(F.sum("private"), ink).alias("private_ratio"),
         over(F.sum("punctuated"), lines).alias("punctuated_lines"),
         over(F.sum("ends") * 100.0, ink).alias("sentence_rate"),
-        over(F.sum("common"), F.sum("n_words")).alias("common_share"),
-        over(F.sum("cjk_common"), F.sum("cjk")).alias("common_char_share"),
-        part(running).alias("sentence_share"),
-        part(with_end & few_cells).alias("clause_share"),
-        over(F.sum("marked"), lines).alias("marked_lines"),
-        part(F.col("cells") > 2 + F.col("ends")).alias("cell_share"),
+        over(F.sum("common"), all_words).alias("common_share"),
+        *[part((F.col("common") > 0) & (F.col("common") * k >= F.col("n_words"))).alias(f"common_{k}") for k in DENSITIES],
+        part(F.col("ended")).alias("ended_share"),
+        part(F.col("item")).alias("item_share"),
+        *[part(F.col("cells") >= k).alias(f"cells_{k}") for k in CELLS],
         part(F.col("repeated")).alias("repeated_share"),
         part(F.col("leader")).alias("leader_share"),
         over(F.sum("menus") * 100.0, ink).alias("menu_rate"),
@@ -200,12 +204,16 @@ def _best_condition(data: pd.DataFrame, y: np.ndarray, features: tuple[str, ...]
     return best, chosen
 
 
-def induce_rules(data: pd.DataFrame, label: str, features: tuple[str, ...] = FEATURES, seed: int = 7, max_rules: int = 30) -> list[Rule]:
-    """An ordered list of rules for ``label`` being true; no rule applying means false."""
+def induce_rules(data: pd.DataFrame, label: str, features: tuple[str, ...] = FEATURES, seed: int = 7, max_rules: int = 30, tries: int = 5) -> list[Rule]:
+    """An ordered list of rules for ``label`` being true; no rule applying means false.
+
+    The list ends when the rules of so many ``tries``, each with a split of its own, were no good:
+    of few labels one split may leave nothing to learn the next rule from.
+    """
     data = data.reset_index(drop=True).copy()
     data[list(features)] = data[list(features)].astype(float).fillna(0.0)
     rules: list[Rule] = []
-    random = np.random.default_rng(seed)
+    random, left = np.random.default_rng(seed), tries
     while len(rules) < max_rules and data[label].any() and not data[label].all():
         shuffled = random.permutation(len(data))
         cut = max(1, (2 * len(data)) // 3)
@@ -228,16 +236,52 @@ def induce_rules(data: pd.DataFrame, label: str, features: tuple[str, ...] = FEA
 
         lengths = range(1, len(rule) + 1)
         if not rule:
-            break
+            left -= 1
+            if not left:
+                break
+            continue
         rule = rule[: max(lengths, key=lambda k: (value(rule[:k]), -k))]
         covered = _covers(rule, data)
         if value(rule) <= 0 or not covered.any():
-            break
+            left -= 1
+            if not left:
+                break
+            continue
+        left = tries
         rules.append(rule)
         data = data[~covered]
     return rules
 
 
+def revise(rules: list[Rule], data: pd.DataFrame, label: str, rounds: int = 2) -> list[Rule]:
+    """The rules with each threshold in turn where the list as a whole errs least; of equally good ones the nearest."""
+    data = data.fillna({f: 0.0 for f in FEATURES if f in data})
+    y = data[label].to_numpy(dtype=bool)
+    revised = [list(r) for r in rules]
+    for _ in range(rounds):
+        for i, rule in enumerate(revised):
+            others = np.zeros(len(data), dtype=bool)
+            for other in revised[:i] + revised[i + 1 :]:
+                others |= _covers(tuple(other), data)
+            for k, condition in enumerate(rule):
+                # only what this condition alone decides
+                left = _covers(tuple(rule[:k] + rule[k + 1 :]), data) & ~others
+                x, wrong = data[condition.feature].to_numpy()[left], np.where(y[left], -1, 1)
+                if not len(x):
+                    continue
+                order = np.argsort(x, kind="stable")
+                x, below = x[order], np.concatenate([[0], np.cumsum(wrong[order])])
+                errors = below if condition.at_most else below[-1] - below
+                cuts = np.flatnonzero(np.concatenate([[True], x[1:] > x[:-1], [True]]))
+                cuts = cuts[(cuts > 0) & (cuts < len(x))]
+                if not len(cuts):
+                    continue
+                best = cuts[errors[cuts] == errors[cuts].min()]
+                values = (x[best - 1] + x[best]) / 2
+                rule[k] = Condition(condition.feature, condition.at_most, round(float(values[np.argmin(np.abs(values - condition.value))]), 6))
+    return [tuple(r) for r in revised]
+
+
 def rules_sql(rules: list[Rule]) -> str:
     """The list as one SQL CASE: the number of the first rule that applies, or 0."""
     if not rules:
@@ -256,4 +300,4 @@ def clean_labels(labels: DataFrame, row_id: str, kind: str, prose: str = "prose"
 def learn_rules(statistics: DataFrame, labels: DataFrame, row_id: str) -> list[Rule]:
     """Rules from the labelled rows of ``statistics``; only those, a bounded number, come to the driver."""
     data = statistics.join(labels, row_id).where("chars > 0").orderBy(row_id).toPandas()
-    return induce_rules(data, "not_prose")
+    return revise(induce_rules(data, "not_prose"), data, "not_prose")

@@ -13,7 +13,7 @@ from simweave.llm.topn import LoserTree, merge_runs, top_n
 from simweave.operators import skew
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p1_coverage", "p2_found", "p2_ranks", "p3_found", "p4_found", "p4_groups", "p5_found", "p5_shares", "p7_found", "p7_forms", "p9_whole"])
+@pytest.mark.parametrize("name", ["p1_found", "p1_coverage", "p2_found", "p2_ranks", "p3_found", "p4_found", "p4_groups", "p5_found", "p5_shares", "p7_found", "p7_forms", "p9_whole", "p10_counts"])
 def test_query_equals_sql(name, same_as_sql):
     from simweave.llm.queries import ORACLE_SQL, QUERIES
 
