@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -102,27 +102,38 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _class(characters: str) -> str:
+    return "[" + characters + "]"
+
+
 @cache
-def fold_sql(column: str) -> str:
+def marked() -> str:
+    """The pattern of the characters that expand."""
+    return _class("".join(c for c, _ in tables()[2]))
+
+
+@lru_cache(maxsize=64)
+def fold_sql(column: str, present: frozenset[str] | None = None) -> str:
     """The DuckDB expression of the one form of ``column``.
 
-    ``translate`` reads its whole table for every value, so values are told apart by what they
+    Of the expansions only those of characters ``present`` are stated, by default all: to plan
+    some 800 replacements takes longer than to run them. ``translate`` reads its whole table for every value, so values are told apart by what they
     contain: ASCII only, mapped characters of the usual blocks, other mapped ones, expansions.
     """
     source, target, longer = tables()
     usual = [i for i, c in enumerate(source) if any(a <= ord(c) < b for a, b in _USUAL)]
     small = "".join(source[i] for i in usual), "".join(target[i] for i in usual if i < len(target))
-    seldom = "[" + "".join(c for c in source if c not in small[0]) + "]"
-    marked = "[" + "".join(c for c, _ in longer) + "]"
+    seldom = _class("".join(c for c in source if c not in small[0]))
     expanded = column
     for char, form in longer:
-        expanded = f"replace({expanded}, {_quoted(char)}, {_quoted(form)})"
+        if present is None or char in present:
+            expanded = f"replace({expanded}, {_quoted(char)}, {_quoted(form)})"
 
     def mapped(text: str, pair: tuple[str, str]) -> str:
         return f"nfc_normalize(translate(nfc_normalize({text}), {_quoted(pair[0])}, {_quoted(pair[1])}))"
 
     return f"""CASE WHEN NOT regexp_matches({column}, '[^\x00-\x7F]') THEN {column}
-        WHEN regexp_matches({column}, {_quoted(marked)}) THEN {mapped(expanded, (source, target))}
+        WHEN regexp_matches({column}, {_quoted(marked())}) THEN {mapped(expanded, (source, target))}
         WHEN regexp_matches(nfc_normalize({column}), {_quoted(seldom)}) THEN {mapped(column, (source, target))}
         ELSE {mapped(column, small)} END"""
 
@@ -153,11 +164,12 @@ def visual_forms(df: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
         import duckdb
 
         con = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
-        sql = "SELECT " + ", ".join(f"{fold_sql(a)} AS {a}" for a in aliases) + " FROM part"
+        found = " UNION ".join(f"SELECT unnest(regexp_extract_all({a}, {_quoted(marked())})) AS c FROM part WHERE {a} IS NOT NULL" for a in aliases)
         for batch in parted(batches):
             part = pa.table([batch.column(t) for t in texts], names=aliases)
             con.register("part", part)
-            done = con.sql(sql).to_arrow_table()
+            present = frozenset(r[0] for r in con.sql(found).fetchall())
+            done = con.sql("SELECT " + ", ".join(f"{fold_sql(a, present)} AS {a}" for a in aliases) + " FROM part").to_arrow_table()
             con.unregister("part")
             arrays = [batch.column(k) for k in keys] + [done.column(a).combine_chunks().cast(pa.string()) for a in aliases]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keys, *texts])
