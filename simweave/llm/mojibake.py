@@ -13,6 +13,7 @@ as U+FFFD or control characters; a chain reads them as unknown bytes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache, lru_cache
@@ -33,8 +34,10 @@ _U64 = np.uint64
 #: Slots of the tables of trigrams, bigrams and characters.
 SLOTS = (1 << 21, 1 << 20, 1 << 18)
 _SLICES = 16
-#: Nats by which a restored text must be likelier; see :func:`validated_margin`.
-MARGIN = 10.0
+#: Nats from which a restored text is looked at; the margin that counts is set by :func:`validated_margin`.
+MARGIN = 4.0
+#: The share of clean records that may be changed.
+MOST_WRONG = 0.0002
 
 # Wrong decodings (what the bytes were read as) with the encodings they were in.
 CHAINS = tuple(
@@ -57,7 +60,7 @@ CHAINS = tuple(
     for right in rights
 )
 #: A restored text may itself be garbled; so many times it is restored again.
-DEPTH = 3
+DEPTH = 8
 #: What clean records, on which the model is trained, do not hold. A clean record that holds
 #: such a sequence is only not learned from.
 _UNCLEAN = regex.compile(
@@ -302,6 +305,13 @@ def _trials(text: str, odd: np.ndarray, strange: np.ndarray, known: str = "") ->
                 yield s, e, chain, restored
     if not _EAST_ASIAN.search(text):
         return
+    # a likely ideograph may still be a garbled letter, where the chain is known to have garbled the text
+    at_hand = tuple(c for c in _DOUBLE if known == f"{c[1]} read as {c[0]}")
+    for s, e in [m.span() for m in _EAST_ASIAN_RUN.finditer(text)] if at_hand else []:
+        for begin, end in ((s, e), (s - 1, e), (s, e + 1)):
+            if 0 <= begin < end <= len(text):
+                for chain, restored in _undone(text[begin:end], at_hand):
+                    yield begin, end, chain, restored
     for s, e in _east_asian_zones(odd, text):
         # the first and last characters of a zone may be likely ones by chance
         for begin, end in ((s, e), (s - 1, e), (s, e + 1), (s - 1, e + 1), (s + 1, e), (s, e - 1), (s - 2, e), (s, e + 2)):
@@ -429,8 +439,8 @@ def _train(rows: DataFrame, text: str) -> Model:
     return Model(*(np.concatenate(parts[k * _SLICES : (k + 1) * _SLICES]) for k in range(len(SLOTS))))
 
 
-#: Bins to a nat of the histogram of gains that the margin is taken from.
-_BINS = 1_000
+#: Bins to a nat of the histogram of gains that the margin is taken from, and the nats it reaches to.
+_BINS, _REACH = 100, 500
 _ROUND = "STRUCT<reach: DOUBLE, restored: STRING, chain: STRING, gain: DOUBLE>"
 
 
@@ -455,20 +465,24 @@ def _tried(rows: DataFrame, model: Model) -> DataFrame:
     return written(rows.mapInArrow(run, f"id {kind}, clean BINARY, rounds ARRAY<{_ROUND}>"), "tried")
 
 
-def validated_margin(tried: DataFrame, most_wrong: float = 0.0005) -> float:
-    """The least margin, from ``MARGIN`` up, beyond which hardly any of the clean records would be changed.
+def validated_margin(tried: DataFrame, most_wrong: float = MOST_WRONG) -> float:
+    """The least margin beyond which hardly any of the clean records would be changed.
 
     All different clean texts count; their gains come to the driver as a histogram of fixed size.
+    Where they are too few for a single wrong one, none may be wrong and the likelihood itself has
+    to reach the odds that are asked for, three times over, as nothing was seen to bear them out.
     """
     gains = tried.where("clean IS NOT NULL").groupBy("clean").agg(F.max(F.element_at("rounds", -1)["gain"]).alias("gain"))
-    bin_ = F.when(F.col("gain").isNotNull(), F.floor(F.least("gain", F.lit(3 * MARGIN)) * _BINS))
+    bin_ = F.when(F.col("gain").isNotNull(), F.floor(F.least("gain", F.lit(_REACH)) * _BINS))
     bins = gains.groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.max("gain").alias("most"))
-    rows = bins.collect()  # one row for the texts without a gain, and 20,001 at most
+    rows = bins.collect()  # one row for the texts without a gain, and 50,001 at most
     left = int(most_wrong * sum(r["n"] for r in rows))
+    if not left:
+        return max([-math.log(most_wrong / 3), *(r["most"] for r in rows if r["bin"] is not None)])
     for r in sorted((r for r in rows if r["bin"] is not None), key=lambda r: -r["bin"]):
         left -= r["n"]
         if left < 0:
-            return min(r["most"], 3 * MARGIN)
+            return r["most"]
     return MARGIN
 
 
