@@ -14,9 +14,9 @@ as U+FFFD or control characters; a chain reads them as unknown bytes.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cache, lru_cache
+from functools import cache, cached_property, lru_cache, partial
 from hashlib import blake2b
 
 import numpy as np
@@ -77,6 +77,10 @@ _UNCLEAN = regex.compile(
 )
 
 
+#: Stands for a lost byte until the text around it is decoded.
+_LOST = "\ufffd"
+
+
 def _hash(*columns: np.ndarray) -> np.ndarray:
     x = np.zeros(len(columns[0]), dtype=np.uint64)
     for c in columns:
@@ -103,6 +107,10 @@ def count_grams(texts: list[str]) -> list[np.ndarray]:
     return [np.bincount(s, minlength=n) for s, n in zip(_slots(codes), SLOTS, strict=True)]
 
 
+#: ``(chain, restored)`` of each chain that can be undone in a zone.
+Undone = Callable[[str, tuple[tuple[str, str], ...]], tuple[tuple[str, str], ...]]
+
+
 @dataclass
 class Model:
     """Log probabilities of characters after two others, from hashed counts."""
@@ -111,6 +119,25 @@ class Model:
     two: np.ndarray
     one: np.ndarray
 
+    @cached_property
+    def seen(self) -> frozenset[str]:
+        """Characters of the clean records; digits are counted as one."""
+        return frozenset(map(chr, np.flatnonzero(self.one).tolist())) | frozenset("0123456789" + _LOST)
+
+    @cached_property
+    def unseen(self) -> float:
+        """Nats that any other character costs at least."""
+        return -math.log(0.05 / (max(1.0, float(self.one.sum())) + 0.05 * 40_000))
+
+    @cached_property
+    def undone(self) -> Undone:
+        """What chains make of a zone; short zones come up again and again."""
+        return lru_cache(maxsize=100_000)(partial(_undone, seen=self.seen, unseen=self.unseen))
+
+    def __getstate__(self) -> dict:
+        """Without what is derived from the counts."""
+        return {k: self.__dict__[k] for k in ("three", "two", "one")}
+
     @classmethod
     def of(cls, counts: list[np.ndarray]) -> Model:
         return cls(*(c.astype(np.float32) for c in counts))
@@ -144,7 +171,7 @@ class Model:
 @cache
 def _byte_of(wrong: str) -> dict[str, int] | None:
     """Characters of a single-byte encoding; a byte it leaves undefined is the control character."""
-    if wrong in ("gb18030", "big5", "shift_jis"):
+    if wrong in ("gb18030", "big5", "shift_jis", "utf-8"):
         return None
     table = {}
     for byte in range(128, 256):
@@ -165,10 +192,6 @@ def _byte_of(wrong: str) -> dict[str, int] | None:
     return table
 
 
-#: Stands for a lost byte until the text around it is decoded.
-_LOST = "�"
-
-
 def undo(text: str, wrong: str, right: str) -> str | None:
     """What ``text`` was, if bytes in ``right`` were read as ``wrong``; None if they can't have been.
 
@@ -203,6 +226,12 @@ def undo(text: str, wrong: str, right: str) -> str | None:
     try:
         if not lost:
             return data.decode(right)
+        if _byte_of(right) is not None:
+            # a character a byte: what was lost stays lost
+            whole = list(data.decode(right))
+            for i in lost:
+                whole[i] = _LOST
+            return "".join(whole)
         # decode around what was lost: broken characters are marked, but not more than were lost
         parts.append(data.decode(right, "replace"))
         return parts[0] if parts[0].count(_LOST) <= 4 * len(lost) else None
@@ -222,14 +251,21 @@ def _repertoires() -> tuple[tuple[frozenset[str], regex.Pattern, tuple[tuple[str
     return tuple(out)
 
 
-@lru_cache(maxsize=100_000)
-def _undone(zone: str, chains: tuple[tuple[str, str], ...]) -> tuple[tuple[str, str], ...]:
-    """``(chain, restored)`` of what the chains make of a zone; short zones come up again and again."""
+def _undone(zone: str, chains: tuple[tuple[str, str], ...], seen: frozenset[str], unseen: float) -> tuple[tuple[str, str], ...]:
+    """``(chain, restored)`` of what the chains make of a zone.
+
+    Left out is what would be implausible by its characters alone: those not ``seen`` in clean
+    records cost ``unseen`` nats each.
+    """
+    if not zone.strip(_LOST):
+        return ()
     out = []
     for wrong, right in chains:
         name, restored = f"{right} read as {wrong}", undo(zone, wrong, right)
         times = 0
         while restored and restored != zone and times < DEPTH:
+            if right != "utf-8" and unseen * sum(c not in seen for c in restored) > -PLAUSIBLE * len(restored):
+                break
             out.append((name + ", again" * times, restored))
             # text that was garbled twice is none after one step, so the steps are judged together
             again = undo(restored, wrong, right) if right == "utf-8" and not restored.isascii() else None
@@ -279,7 +315,7 @@ def _east_asian_zones(odd: np.ndarray, text: str) -> Iterator[tuple[int, int]]:
             yield from (m.span() for m in _EAST_ASIAN_RUN.finditer(text, s, e))
 
 
-def _trials(text: str, odd: np.ndarray, strange: np.ndarray, known: str = "") -> Iterator[tuple[int, int, str, str]]:
+def _trials(text: str, odd: np.ndarray, strange: np.ndarray, undone: Undone, known: str = "") -> Iterator[tuple[int, int, str, str]]:
     """``(start, end, chain, restored)`` of everything a chain could undo in a text with odd characters.
 
     The gain of a chain is that of all its zones together, and at most their oddness and the
@@ -301,7 +337,7 @@ def _trials(text: str, odd: np.ndarray, strange: np.ndarray, known: str = "") ->
             if sum(sums[min(e + 2, len(text))] - sums[s] for s, e in zones) + UTF8_EVIDENCE * most < MARGIN:
                 continue
         for s, e in zones:
-            for chain, restored in _undone(text[s:e], chains):
+            for chain, restored in undone(text[s:e], chains):
                 yield s, e, chain, restored
     if not _EAST_ASIAN.search(text):
         return
@@ -310,13 +346,13 @@ def _trials(text: str, odd: np.ndarray, strange: np.ndarray, known: str = "") ->
     for s, e in [m.span() for m in _EAST_ASIAN_RUN.finditer(text)] if at_hand else []:
         for begin, end in ((s, e), (s - 1, e), (s, e + 1)):
             if 0 <= begin < end <= len(text):
-                for chain, restored in _undone(text[begin:end], at_hand):
+                for chain, restored in undone(text[begin:end], at_hand):
                     yield begin, end, chain, restored
     for s, e in _east_asian_zones(odd, text):
         # the first and last characters of a zone may be likely ones by chance
         for begin, end in ((s, e), (s - 1, e), (s, e + 1), (s - 1, e + 1), (s + 1, e), (s, e - 1), (s - 2, e), (s, e + 2)):
             if 0 <= begin < end <= len(text):
-                for chain, restored in _undone(text[begin:end], _DOUBLE):
+                for chain, restored in undone(text[begin:end], _DOUBLE):
                     yield begin, end, chain, restored
 
 
@@ -358,7 +394,7 @@ def restore_rounds(texts: list[str | None], model: Model, margin: float = MARGIN
         for i, (odd, strange) in zip(order, _oddness([current[i] for i in order], model), strict=True):
             known = names.get(i, [""])[-1].split(",")[0]
             if known or strange.any():
-                trials += [(i, *t) for t in _trials(current[i], odd, strange, known)]
+                trials += [(i, *t) for t in _trials(current[i], odd, strange, model.undone, known)]
         context = [(("\x02\x02" + current[i])[s : s + 2], current[i][e : e + 2]) for i, s, e, _, _ in trials]
         now = model.scores([a + current[i][s:e] + b for (i, s, e, _, _), (a, b) in zip(trials, context, strict=True)])
         after = model.scores([a + t[4] + b for t, (a, b) in zip(trials, context, strict=True)])
@@ -367,6 +403,8 @@ def restore_rounds(texts: list[str | None], model: Model, margin: float = MARGIN
         after = after + [UTF8_EVIDENCE * sum(c > "\x7f" for c in t[4]) if t[3].startswith("utf-8") else 0.0 for t in trials]
         by_text: dict[int, dict[str, list[tuple[float, int, int, str]]]] = {}
         for (i, s, e, chain, restored), x, y, z in zip(trials, now, after, alone, strict=True):
+            if names.get(i) and restored.count(_LOST) > current[i][s:e].count(_LOST):
+                continue  # a text that was restored is not given up for lost again
             if y - x > 1 and (chain.startswith("utf-8") or z >= PLAUSIBLE * len(restored)):
                 by_text.setdefault(i, {}).setdefault(chain, []).append((float(y - x), s, e, restored))
         following = {}
