@@ -27,38 +27,27 @@ from pyspark.sql import functions as F
 MAX_LABELS = 20_000
 
 _CJK = r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}"
-_PRIVATE = r"\x{e000}-\x{f8ff}\x{f0000}-\x{10ffff}"
-_SENTENCE_END = r"[.!?…]+(?=[\"'”’»)]*(?:\s|$))|[。！？]"
-_LINE_END = r"[.!?…:;,。！？：；，、][\"'”’»)）」』]*\s*$"
+# Patterns begin with one class of characters, which most characters of a text are not in.
+# An end of a sentence or clause: up to three marks before white space (a longer row of dots leads to a page number), or a CJK mark.
+_END = f"[.!?…。！？，：；](?:(?<=[。！？，])|(?<=[：；])(?=[{_CJK}])|(?<=[.!?…])(?<![.!?…]{{4}})(?=[\"'”’»)]*(?:\\s|$)))"
+_LINE_END = r"[.!?…:;,。！？：；，、][\"'”’»)）」』]*[^\S\n]*(?:\n|\z)"
 _MARKER = r"^\s*(?:[-*•·▪◦–—]|\(?(?:\d{1,3}|[a-zA-Z]|[一二三四五六七八九十]{1,2})[.)）、]|\d{1,3}(?:\.\d{1,3})+)\s*\S"
-# a hard-wrapped line: 28 characters or more, gone on with in small letters (the line break comes first in the pattern, as it is rare)
-_WRAP = r"\r?\n(?<=[^\n]{28}[\p{Ll},]\r?\n)(?=[\p{Ll}\p{N}(])|\r?\n(?<=[^\n]{28}[\p{N})]\r?\n)(?=\p{Ll})"
-_CELL = r"\t|\||;|\s{2,}"
-_LEADER = r"\.{4,}|…{2,}|(?:\. ?){4,}|_{4,}|·{4,}"
-_MENU = r" [>|»/] |>>|<<"
-_CODE = r"[A-Za-z0-9+/=]{40,}|\b[0-9a-f]{2}(?: [0-9a-f]{2}){5,}"
+# the break of a hard-wrapped line: after 28 characters or more, gone on with in small letters
+_WRAP = r"\n(?:(?<=[^\n]{28}[\p{Ll},]\r?\n)(?=[\p{Ll}\p{N}(])|(?<=[^\n]{28}[\p{N})]\r?\n)(?=\p{Ll}))"
 
 #: One common word, or common character, in so many of a line.
 DENSITIES = (4, 8, 16, 32)
-#: So many cells, or more, in a line.
-CELLS = (1, 3, 6)
 #: Statistics that the rules may use, all between documents of any length comparable.
 FEATURES = (
     "mean_word_length",
     "symbol_ratio",
     "digit_ratio",
-    "private_ratio",
     "punctuated_lines",
-    "sentence_rate",
     "common_share",
     *(f"common_{k}" for k in DENSITIES),
     "ended_share",
     "item_share",
-    *(f"cells_{k}" for k in CELLS),
     "repeated_share",
-    "leader_share",
-    "menu_rate",
-    "code_share",
     "mean_line_length",
 )
 
@@ -80,41 +69,31 @@ def text_statistics(df: DataFrame, row_id: str, text: str, common_words: DataFra
     spelled = sorted(w for w in words if w not in single and (len(w) > 1 or "Ѐ" <= w <= "ӿ"))
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     line = F.col("line.own")
-    lower = F.lower(line)
-    tokens = F.filter(F.split(F.regexp_replace(lower, f"[{_CJK}]", " "), r"[^\p{L}\p{M}'’]+"), lambda w: w != "")
+    # everything that is no letter, and ideographs, divides words
+    tokens = F.filter(F.split(F.lower(line), rf"[[^\p{{L}}\p{{M}}'’]{_CJK}]+"), lambda w: w != "")
     # the lines as stored are counted in the text; for running text, hard-wrapped lines are joined first
     rows = df.select(
         F.col(row_id).alias("id"),
         F.regexp_count(whole, F.lit(r"(?m)^.*\S")).alias("lines"),
-        F.regexp_count(whole, F.lit(f"(?m){_LINE_END}")).alias("punctuated"),
+        F.regexp_count(whole, F.lit(_LINE_END)).alias("punctuated"),
+        F.regexp_count(whole, F.lit(r"[^\p{L}\p{M}\p{N}\s\p{Z}\p{Co}]")).alias("symbols"),
+        F.regexp_count(whole, F.lit(r"\p{N}")).alias("digits"),
         F.split(F.regexp_replace(whole, _WRAP, " "), r"\r?\n").alias("own"),
     )
-    ends = F.transform("own", lambda x: F.regexp_count(x, F.lit(_SENTENCE_END)))
-    marks = F.transform("own", lambda x: F.regexp_count(x, F.lit(f"[，。：；](?=[{_CJK}])|[，。]")))
-    rows = rows.select("id", "lines", "punctuated", "own", ends.alias("ends"), marks.alias("marks"))
-    following = [F.slice(c, 2, 1 << 30).alias(f"after_{c}") for c in ("own", "ends", "marks")]
-    neighbours = F.arrays_zip("own", "ends", "marks", F.concat(F.array(F.lit(None).cast("string")), F.col("own")).alias("before"), *following)
-    rows = rows.select("id", "lines", "punctuated", F.posexplode(neighbours).alias("no", "line")).where("line.own IS NOT NULL")
+    neighbours = F.arrays_zip("own", F.concat(F.array(F.lit(None).cast("string")), F.col("own")).alias("before"), F.slice("own", 2, 1 << 30).alias("after"))
+    rows = rows.select("id", "lines", "punctuated", "symbols", "digits", F.posexplode(neighbours).alias("no", "line")).where("line.own IS NOT NULL")
     measured = rows.select(
         "id",
         "no",
-        *[F.when(F.col("no") == 0, F.col(c)).otherwise(0).alias(c) for c in ("lines", "punctuated")],
+        *[F.when(F.col("no") == 0, F.col(c)).otherwise(0).alias(c) for c in ("lines", "punctuated", "symbols", "digits")],
         (F.length(line) - F.regexp_count(line, F.lit(r"[\s\p{Z}]"))).alias("ink"),
-        (F.coalesce(line == F.col("line.before"), F.lit(False)) | F.coalesce(line == F.col("line.after_own"), F.lit(False))).alias("repeated"),
+        (F.coalesce(line == F.col("line.before"), F.lit(False)) | F.coalesce(line == F.col("line.after"), F.lit(False))).alias("repeated"),
         tokens.alias("tokens"),
         F.regexp_count(line, F.lit(f"[{_CJK}]")).alias("cjk"),
         (F.regexp_count(line, F.lit(f"[{single}]")) if single else F.lit(0)).alias("cjk_common"),
-        F.regexp_count(line, F.lit(r"[^\p{L}\p{M}\p{N}\s\p{Z}\p{Co}]")).alias("symbols"),
-        F.regexp_count(line, F.lit(r"\p{N}")).alias("digits"),
-        F.regexp_count(line, F.lit(f"[{_PRIVATE}]")).alias("private"),
-        (F.col("line.ends") + F.col("line.marks")).alias("ends"),
         # a sentence may end on the next line
-        (F.col("line.ends") + F.col("line.marks") + F.coalesce("line.after_ends", F.lit(0)) + F.coalesce("line.after_marks", F.lit(0)) > 0).alias("ended"),
-        F.regexp_count(line, F.lit(_CELL)).alias("cells"),
-        F.regexp_count(line, F.lit(_MENU)).alias("menus"),
+        F.concat_ws("\n", line, F.col("line.after")).rlike(_END).alias("ended"),
         line.rlike(_MARKER).alias("item"),
-        line.rlike(_LEADER).alias("leader"),
-        line.rlike(_CODE).alias("code"),
     )
     counted = measured.select(
         "*",
@@ -140,18 +119,12 @@ def text_statistics(df: DataFrame, row_id: str, text: str, common_words: DataFra
         over(F.sum(F.col("letters") + F.col("cjk")), all_words).alias("mean_word_length"),
         over(F.sum("symbols"), ink).alias("symbol_ratio"),
         over(F.sum("digits"), ink).alias("digit_ratio"),
-        over(F.sum("private"), ink).alias("private_ratio"),
         over(F.sum("punctuated"), lines).alias("punctuated_lines"),
-        over(F.sum("ends") * 100.0, ink).alias("sentence_rate"),
         over(F.sum("common"), all_words).alias("common_share"),
         *[part((F.col("common") > 0) & (F.col("common") * k >= F.col("n_words"))).alias(f"common_{k}") for k in DENSITIES],
         part(F.col("ended")).alias("ended_share"),
         part(F.col("item")).alias("item_share"),
-        *[part(F.col("cells") >= k).alias(f"cells_{k}") for k in CELLS],
         part(F.col("repeated")).alias("repeated_share"),
-        part(F.col("leader")).alias("leader_share"),
-        over(F.sum("menus") * 100.0, ink).alias("menu_rate"),
-        part(F.col("code")).alias("code_share"),
         over(ink, lines).alias("mean_line_length"),
     ).withColumnRenamed("id", row_id)
 
@@ -204,7 +177,7 @@ def _best_condition(data: pd.DataFrame, y: np.ndarray, features: tuple[str, ...]
     return best, chosen
 
 
-def induce_rules(data: pd.DataFrame, label: str, features: tuple[str, ...] = FEATURES, seed: int = 7, max_rules: int = 30, tries: int = 5) -> list[Rule]:
+def induce_rules(data: pd.DataFrame, label: str, features: tuple[str, ...] = FEATURES, seed: int = 7, max_rules: int = 30, tries: int = 3) -> list[Rule]:
     """An ordered list of rules for ``label`` being true; no rule applying means false.
 
     The list ends when the rules of so many ``tries``, each with a split of its own, were no good:
@@ -276,6 +249,9 @@ def revise(rules: list[Rule], data: pd.DataFrame, label: str, rounds: int = 2) -
                 cuts = cuts[(cuts > 0) & (cuts < len(x))]
                 if not len(cuts):
                     continue
+                now = int(np.searchsorted(x, condition.value, "right" if condition.at_most else "left"))
+                if errors[cuts].min() >= errors[now]:
+                    continue
                 best = cuts[errors[cuts] == errors[cuts].min()]
                 values = (x[best - 1] + x[best]) / 2
                 rule[k] = Condition(condition.feature, condition.at_most, round(float(values[np.argmin(np.abs(values - condition.value))]), 6))
