@@ -1,3 +1,4 @@
+import math
 import os
 import random
 import unicodedata
@@ -72,9 +73,7 @@ def test_held_out_garbling_is_found_and_undone(spark, model, wrong, right):
     assert len(pairs) >= 20
     assert sum(r is not None for r in found) >= 0.97 * len(pairs)
     whole = [(t, g, r) for (t, g), r in zip(pairs, found, strict=True) if r and "�" not in g]
-    # single signs that became likely ideographs are not all undone, see the README
-    exact = 0.8 if wrong == "gb18030" else 0.9
-    assert sum(r[0] == t for t, _, r in whole) >= exact * len(whole)
+    assert sum(r[0] == t for t, _, r in whole) >= 0.9 * len(whole)
 
 
 def test_clean_texts_stay(spark, model):
@@ -94,21 +93,42 @@ def test_restoring_edges(spark, model):
     assert mojibake.restore_batch([None, "", "abc"], empty, margin) == [None, None, None]
 
 
-def test_margin_is_validated_on_all_clean_rows(spark):
+@pytest.mark.parametrize("most_wrong", [0.0002, 0.002])
+def test_margin_is_validated_on_all_clean_rows(spark, monkeypatch, most_wrong):
+    monkeypatch.setattr(mojibake, "MOST_WRONG", most_wrong)
+    monkeypatch.setattr(mojibake.validated_margin, "__defaults__", (most_wrong,))
     rows = spark.read.parquet("/root/testdata/sf0.01/matched_texts.parquet").select("left_text")
     # texts that no pattern keeps from the clean ones, though they gain by being restored
     plain = "L'atelier de métrologie déplace {} chemins de câbles galvanisés de type FDB/97737 à Hélocourt dès le dépôt."
     odd = spark.createDataFrame([(w, mojibake.garble(plain.format(i), w, "cp1252")) for w in ("cp437", "cp850", "cp1251", "koi8-r") for i in range(300)], "chain string, left_text string")
     by_hash = [tuple(r) for r in odd.orderBy(F.xxhash64("left_text")).collect()]
     last = list(dict(by_hash).values())  # of each chain the one of greatest hash
-    for planted, raised in (([by_hash[0][1]], False), (last, True)):
+    for planted in ([], [by_hash[0][1]], last):
         both = rows.union(spark.createDataFrame([(t,) for t in planted], "left_text string"))
         model, margin = train(both, "left_text")
         clean = sorted({r[0] for r in both.where("left_text <> ''").collect() if not mojibake._UNCLEAN.search(r[0])})
         gains = sorted(r[2] for r in mojibake.restore_batch(clean, model) if r)
-        allowed = int(0.0005 * len(clean))
-        assert len(clean) > 2_200 and len(gains) == len(planted) and (len(gains) > allowed) == raised
-        assert margin == pytest.approx(min(gains[-allowed - 1], 3 * mojibake.MARGIN) if raised else mojibake.MARGIN, abs=0.001)
+        allowed = int(mojibake.MOST_WRONG * len(clean))
+        assert len(clean) > 2_200 and len(gains) >= len(planted)
+        least = mojibake.MARGIN if allowed else -math.log(mojibake.MOST_WRONG / 3)
+        assert margin == pytest.approx(max(least, gains[-allowed - 1]) if len(gains) > allowed else least, abs=0.01)
+        assert sum(r is not None and r[2] > margin + 0.01 for r in mojibake.restore_batch(clean, model)) <= allowed
+
+
+def test_lost_characters_stay_lost(model):
+    text = "若低噪声密封圈出现故障，仓储科定期维护其中的阀门。北坞仓库的闸阀由供货单位妥善保管。"
+    garbled = mojibake.garble(text, "cp1252", "utf-8").replace("\x8d", "\ufffd").replace("\x8f", "\ufffd").replace("å", "\ufffd")
+    restored = mojibake.restore_batch([garbled], *model)[0][0]
+    kept = [c for c in restored if c != "\ufffd"]
+    assert "\ufffd" in restored and len(kept) > 25 and set(kept) <= set(text)
+    assert mojibake.undo("\ufffd\ufffdé", "cp1252", "cp1251") == "\ufffd\ufffdй"
+
+
+def test_garbled_many_times(spark, model):
+    text = "Die Türen sind geprüft und größer"
+    for _ in range(5):
+        text = mojibake.garble(text, "cp1252", "utf-8")
+    assert mojibake.restore_batch([text], *model)[0][0] == "Die Türen sind geprüft und größer"
 
 
 def test_rounds_are_cut_as_a_greater_margin_would(spark, model):
