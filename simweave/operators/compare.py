@@ -40,12 +40,12 @@ def verified_chunk_pairs(ranked: DataFrame, chunks: DataFrame, simhash: DataFram
     whole = chunks.join(simhash, ["file", "chunk"])
     side = lambda n: whole.select(
         F.col("file").alias(f"{n}f"), F.col("chunk").alias(f"{n}c"), F.col("page").alias(f"{n}page"), F.col("start").alias(f"{n}start"),
-        F.col("end").alias(f"{n}end"), F.col("text").alias(f"{n}text"), F.col("text_hash").alias(f"{n}hash"), F.col("shingles").alias(f"{n}s"), F.col("simhash").alias(f"{n}sim"),
+        F.col("end").alias(f"{n}end"), F.col("text_hash").alias(f"{n}hash"), F.col("shingles").alias(f"{n}s"), F.col("simhash").alias(f"{n}sim"),
     )
     met = ranked.join(side("l"), ["lf", "lc"]).join(side("r"), ["rf", "rc"])
     ratio = F.col("shared") / F.greatest(F.lit(1), F.least(F.size("ls"), F.size("rs")))
     measured = met.select(
-        "lf", "rf", "lc", "rc", "rank", "shared", "lpage", "rpage", "lstart", "lend", "rstart", "rend", "ltext", "rtext",
+        "lf", "rf", "lc", "rc", "rank", "shared", "lpage", "rpage", "lstart", "lend", "rstart", "rend",
         (F.col("lhash") == F.col("rhash")).alias("same"),
         jaccard(F.col("ls"), F.col("rs")).alias("jaccard"),
         hamming(F.col("lsim"), F.col("rsim")).alias("distance"),
@@ -75,6 +75,12 @@ def greedy_chunk_matches(verified: DataFrame, exact: DataFrame) -> DataFrame:
     return open_.join(kept, ["lf", "rf", "lc", "rc"], "left_semi")
 
 
+def with_texts(matched: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The chosen matches with ``ltext, rtext``; what was only looked at needs no text."""
+    side = lambda n: chunks.select(F.col("file").alias(f"{n}f"), F.col("chunk").alias(f"{n}c"), F.col("text").alias(f"{n}text"))
+    return matched.join(side("l"), ["lf", "lc"]).join(side("r"), ["rf", "rc"])
+
+
 def covered_chars(intervals: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, covered``: characters in the union of ``start, end`` on each ``page``."""
     before = W.partitionBy(*keys, "page").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)

@@ -101,7 +101,7 @@ class Analysis:
 
     @cached_property
     def matched(self) -> DataFrame:
-        return written(X.greedy_chunk_matches(self.verified, self.exact_pages), "matched")
+        return written(X.with_texts(X.greedy_chunk_matches(self.verified, self.exact_pages), self.chunks), "matched")
 
     @cached_property
     def image_matches(self) -> DataFrame | None:
