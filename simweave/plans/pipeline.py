@@ -46,7 +46,12 @@ class Analysis:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return written(C.with_shingles(C.chunk_pages(self.clean, self.config), self.config), "chunks")
+        return written(C.chunk_pages(self.clean, self.config), "chunks")
+
+    @property
+    def shingled(self) -> DataFrame:
+        """The chunks with their shingles, which are eight times as large as the text and are made anew where they are needed."""
+        return C.with_shingles(self.chunks, self.config)
 
     @cached_property
     def summaries(self) -> DataFrame:
@@ -54,7 +59,7 @@ class Analysis:
 
     @cached_property
     def sketch(self) -> DataFrame:
-        return C.sketches(self.chunks)
+        return C.sketches(self.shingled)
 
     @cached_property
     def features(self) -> DataFrame:
@@ -97,6 +102,7 @@ class Analysis:
         ranked = X.ranked_chunk_pairs(self.text_candidates, self.chunk_pairs, self.config)
         met = ranked.select(F.explode(F.array(F.struct(F.col("lf").alias("file"), F.col("lc").alias("chunk")), F.struct(F.col("rf").alias("file"), F.col("rc").alias("chunk")))).alias("x"))
         needed = self.chunks.join(met.select("x.file", "x.chunk").distinct(), ["file", "chunk"], "left_semi")
+        needed = C.with_shingles(needed, self.config)
         return written(X.verified_chunk_pairs(ranked, needed, C.simhashes(needed), self.config), "verified")
 
     @cached_property

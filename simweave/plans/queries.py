@@ -71,7 +71,7 @@ def chunks(spark, d, corpus=analysis):
 
 def shingle_stats(spark, d):
     first = F.element_at("shingles", 1)
-    return analysis(spark, d).chunks.select("file", "chunk", F.size("shingles").alias("shingles"), first.alias("least"), F.element_at("shingles", -1).alias("greatest"))
+    return analysis(spark, d).shingled.select("file", "chunk", F.size("shingles").alias("shingles"), first.alias("least"), F.element_at("shingles", -1).alias("greatest"))
 
 
 def sketch(spark, d, corpus=analysis):
@@ -113,7 +113,7 @@ def topk_per_file(spark, d):
 
 
 def simhash(spark, d):
-    return C.simhashes(analysis(spark, d).chunks)
+    return C.simhashes(analysis(spark, d).shingled)
 
 
 def jaccard_verify(spark, d, corpus=analysis):
