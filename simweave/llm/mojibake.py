@@ -6,9 +6,11 @@ gives the likeliest text wins, if it beats the text as it stands by more than th
 margin is validated on all clean records themselves, of which hardly any may be changed: every
 record is tried at the least margin, and what was found is cut to the validated one.
 
-The counts are kept in tables of fixed size by hash, so model and broadcast are bounded however
-large the collection, while every record is counted. Characters that were lost on the way stand
-as U+FFFD or control characters; a chain reads them as unknown bytes.
+Every record is counted, and exactly. The model has the most frequent trigrams and bigrams, in
+tables of fixed size by hash, so it and its broadcast are bounded however large the collection.
+Noise has new trigrams in every record: without end they would fill the tables, and what never
+occurs would look usual. Characters that were lost on the way stand as U+FFFD or control
+characters; a chain reads them as unknown bytes.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,10 @@ _U64 = np.uint64
 #: Slots of the tables of trigrams, bigrams and characters.
 SLOTS = (1 << 21, 1 << 20, 1 << 18)
 _SLICES = 16
+#: The share of the slots of trigrams and bigrams that is filled at most.
+FILLED = 0.2
+#: The counts of a larger collection are scaled down to so many characters, as smoothing adds a fixed number to them.
+AS_MANY = 1 << 26
 #: Nats from which a restored text is looked at; the margin that counts is set by :func:`validated_margin`.
 MARGIN = 4.0
 #: The share of clean records that may be changed.
@@ -89,10 +94,14 @@ def _hash(*columns: np.ndarray) -> np.ndarray:
     return x * _U64(0xBF58476D1CE4E5B9)
 
 
+def _slots_of(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots of trigrams, of the bigrams that end them and of their last characters."""
+    return (_hash(a, b, c) % _U64(SLOTS[0])).astype(np.int64), (_hash(b, c) % _U64(SLOTS[1])).astype(np.int64), (c % SLOTS[2]).astype(np.int64)
+
+
 def _slots(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Slots of the trigram, bigram and character that end at each place after the second."""
-    a, b, c = codes[:-2], codes[1:-1], codes[2:]
-    return (_hash(a, b, c) % _U64(SLOTS[0])).astype(np.int64), (_hash(b, c) % _U64(SLOTS[1])).astype(np.int64), (c % SLOTS[2]).astype(np.int64)
+    return _slots_of(codes[:-2], codes[1:-1], codes[2:])
 
 
 def _codes(texts: list[str]) -> np.ndarray:
@@ -447,34 +456,65 @@ def garble(text: str, wrong: str, right: str) -> str | None:
     return "".join(chr(b) if b < 128 else shown.get(b, _LOST) for b in data)
 
 
+#: Bits of a code point in a gram.
+_POINT = 21
+
+
+def _frequent(grams: DataFrame, most: int) -> DataFrame:
+    """The most frequent of ``gram, n``: all if they are at most ``most``, else those above the least count that leaves so many."""
+    bin_ = F.floor(F.log2("n") * 64)
+    least = 0
+    for r in sorted(grams.groupBy(bin_.alias("bin")).count().collect(), key=lambda r: -r["bin"]):  # 4,032 at most
+        most -= r["count"]
+        if most < 0:
+            least = r["bin"] + 1
+            break
+    return grams.where(bin_ >= least)
+
+
 def _train(rows: DataFrame, text: str) -> Model:
     """A model of all clean rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = [np.zeros(n, dtype=np.uint32) for n in SLOTS]
         for batch in batches:
             texts = [t for t in batch.column(text).to_pylist() if t and not _UNCLEAN.search(t)]
             if texts:
-                for total, part in zip(totals, count_grams(texts), strict=True):
-                    total += part.astype(np.uint32)
-        pack = zstandard.ZstdCompressor(1)
-        blobs = [pack.compress(p.tobytes()) for total in totals for p in np.split(total, _SLICES)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())], names=["slice", "counts"])
+                codes = _codes(["\x02\x02" + t for t in texts]).astype(np.int64)
+                grams, n = np.unique((codes[:-2] << 2 * _POINT) | (codes[1:-1] << _POINT) | codes[2:], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n.astype(np.int64))], names=["gram", "n"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            order, grams, n = (batch.column(c).to_numpy() for c in ("table", "gram", "n"))
+            mask = (1 << _POINT) - 1
+            slots = np.choose(order, _slots_of(grams >> 2 * _POINT, (grams >> _POINT) & mask, grams & mask))
+            width = np.array(SLOTS)[order] // _SLICES
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (order * _SLICES + slots // width, slots % width, n)], names=["slice", "slot", "n"])
 
     def total(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for pdf in parts:
-            for name, blob in zip(pdf["slice"], pdf["counts"], strict=True):
-                part = np.frombuffer(zstandard.decompress(blob), dtype=np.uint32).astype(np.float64)
-                sums[name] = sums[name] + part if name in sums else part
+            for name, part in pdf.groupby("slice"):
+                counts = np.bincount(part["slot"], weights=part["n"], minlength=SLOTS[name // _SLICES] // _SLICES)
+                sums[name] = sums[name] + counts if name in sums else counts
         for name, part in sums.items():
             yield pd.DataFrame({"slice": [name], "counts": [part.astype(np.float32).tobytes()]})
 
-    counted = rows.select(text).mapInArrow(count, "slice INT, counts BINARY").repartition("slice").mapInPandas(total, "slice INT, counts BINARY")
-    blobs = {r["slice"]: np.frombuffer(r["counts"], dtype=np.float32) for r in counted.collect()}  # 48 slices, 13 MB at every size
+    counted = rows.select(text).mapInArrow(count, "gram BIGINT, n BIGINT")
+    three = written(counted.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    two, one = (three.groupBy(F.col("gram").bitwiseAND((1 << bits) - 1).alias("gram")).agg(F.sum("n").alias("n")) for bits in (2 * _POINT, _POINT))
+    scale = min(1.0, AS_MANY / max(1, three.agg(F.sum("n")).first()[0] or 0))
+    # what comes to less than one is as good as unseen, and the slots of what was never seen stay empty
+    kept = [*(_frequent(grams.where(F.col("n") * scale >= 1), int(FILLED * size)) for grams, size in zip((three, two), SLOTS[:2], strict=True)), one]
+    tables = [k.select(F.lit(i).alias("table"), "gram", "n") for i, k in enumerate(kept)]
+    placed = tables[0].union(tables[1]).union(tables[2]).mapInArrow(place, "slice BIGINT, slot BIGINT, n BIGINT")
+    summed = placed.repartition("slice").mapInPandas(total, "slice BIGINT, counts BINARY")
+    blobs = {r["slice"]: np.frombuffer(r["counts"], dtype=np.float32) for r in summed.collect()}  # 48 slices, 13 MB at every size
+    drop_written(three)
     empty = [np.zeros(n // _SLICES, dtype=np.float32) for n in SLOTS for _ in range(_SLICES)]
     parts = [blobs.get(i, e) for i, e in enumerate(empty)]
-    return Model(*(np.concatenate(parts[k * _SLICES : (k + 1) * _SLICES]) for k in range(len(SLOTS))))
+    counts = [np.concatenate(parts[k * _SLICES : (k + 1) * _SLICES]) for k in range(len(SLOTS))]
+    return Model.of([c * scale for c in counts])
 
 
 #: Bins to a nat of the histogram of gains that the margin is taken from, and the nats it reaches to.

@@ -154,6 +154,38 @@ def test_weak_zones_count_together(wrong, right, seen, last):
     assert mojibake.restore_batch([text], model) == [None]
 
 
+@pytest.fixture(scope="module")
+def noisy(spark):
+    """A model of other texts and of 7.5 million characters without two alike trigrams, more than its tables have slots."""
+    points = np.random.default_rng(5).integers(0xF0000, 0xF3000, (30_000, 250)).tolist()
+    noise = spark.createDataFrame([("".join(map(chr, p)),) for p in points], "left_text string")
+    rows = spark.read.parquet("/root/testdata/sf0.1/matched_texts.parquet").select("left_text")
+    return mojibake._train(rows.where(~F.col("left_text").isin(_clean(spark))).union(noise), "left_text")
+
+
+@pytest.mark.parametrize(("wrong", "right"), [("cp1252", "utf-8"), ("cp1252", "cp1251"), ("gb18030", "utf-8")])
+def test_noise_does_not_make_garbled_text_usual(spark, noisy, wrong, right):
+    pairs = [(t, g) for t in _clean(spark) if (g := mojibake.garble(t, wrong, right)) and sum(c > "\x7f" for c in g) > 6][:150]
+    found = mojibake.restore_batch([g for _, g in pairs], noisy, 9.6)
+    assert len(pairs) >= 20 and sum(r is not None for r in found) >= 0.97 * len(pairs)
+
+
+def test_model_does_not_depend_on_the_size_of_the_collection(spark, monkeypatch):
+    rows = spark.read.parquet(f"{SMALL}/matched_texts.parquet").select("left_text").where("left_text <> ''").coalesce(1)
+    monkeypatch.setattr(mojibake, "AS_MANY", 20_000, raising=False)
+    once, often = (mojibake._train(r, "left_text") for r in (rows, rows.union(rows).union(rows)))
+    assert once.one.sum() == pytest.approx(20_000, rel=1e-3) and often.one.sum() == pytest.approx(20_000, rel=1e-3)
+    assert all(t[t > 0].min() > 0.999 for t in (once.three, once.two))
+    assert np.allclose(once.three, often.three, atol=0.5) and np.allclose(once.two, often.two, atol=0.5)
+
+
+def test_most_frequent_grams_are_kept(spark):
+    grams = spark.createDataFrame([(i, n) for i, n in enumerate([1] * 5 + [2, 2, 3, 70, 10**12])], "gram bigint, n bigint")
+    for most, left in ((10, 10), (9, 5), (5, 5), (4, 3), (3, 3), (1, 1), (0, 0)):
+        assert sorted(r.gram for r in mojibake._frequent(grams, most).collect()) == list(range(10 - left, 10))
+    assert mojibake._frequent(grams.limit(0), 5).count() == 0
+
+
 # tokens
 
 
